@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm import chat, exact_dedup, near_dedup, packing, pii, sharding, topk
+from kindred.llm import chat, exact_dedup, near_dedup, packing, pii, quality, sharding, topk
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -50,6 +50,10 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_exact(_read(spark, sf_dir, "documents"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_packing, op3_near_dedup, op4_top_k, op5_chat, op6_sharding, op8_pii, op9_exact_dedup)
+    named = (op1_packing, op3_near_dedup, op4_top_k, op5_chat, op6_sharding, op8_pii, op9_exact_dedup, op10_quality)
     return {f.__name__: f for f in named}
