@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm import chat, exact_dedup, near_dedup, packing, pii, quality, sharding, topk
+from kindred.llm import chat, exact_dedup, near_dedup, packing, pieces, pii, quality, sharding, topk
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -42,6 +42,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_read(spark, sf_dir, "documents"))
 
 
+def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(_read(spark, sf_dir, "documents"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(_read(spark, sf_dir, "documents"))
 
@@ -55,5 +59,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_packing, op3_near_dedup, op4_top_k, op5_chat, op6_sharding, op8_pii, op9_exact_dedup, op10_quality)
+    named = (op1_packing, op3_near_dedup, op4_top_k, op5_chat, op6_sharding, op7_pieces, op8_pii, op9_exact_dedup, op10_quality)
     return {f.__name__: f for f in named}
