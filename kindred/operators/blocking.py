@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kindred.functions.hashing import Bands, steady_coefficients
 from kindred.operators import minhash, vocab
+from kindred.operators.cluster import cut
 
 
 def candidates(banded: DataFrame) -> DataFrame:
@@ -31,7 +32,7 @@ def block(products: DataFrame, t: float, coefficients=steady_coefficients) -> tu
     is needed before the signatures can be planned. ``coefficients`` gives (a, b)
     for each of s hashes.
     """
-    words = vocab.vocabulary(products)
+    words = cut(vocab.vocabulary(products))
     shape = Bands.of(words.count(), t)
     signed = minhash.signatures(vocab.representation(products, words), shape, coefficients(shape.s))
-    return candidates(minhash.bands(signed, shape)), shape
+    return candidates(minhash.bands(cut(signed), shape)), shape

@@ -12,13 +12,17 @@ from kindred.operators import brands, cluster, experiment
 
 
 def prepared(products: DataFrame) -> DataFrame:
-    """Cleaned titles, brands made alike and imputed."""
+    """Cleaned titles, brands made alike and imputed.
+
+    Both steps are written down: what follows reads titles and features many
+    times over, and would clean them anew each time.
+    """
     cleaned = products.withColumn("title", T.clean_title(F.coalesce("title", F.lit(""))))
-    return brands.impute_brand(brands.with_brand(cleaned))
+    return cluster.cut(brands.impute_brand(cluster.cut(brands.with_brand(cleaned))))
 
 
 def resolve(products: DataFrame, t: float = 0.5, p: Parameters = Parameters(), coefficients=steady_coefficients) -> DataFrame:
     """(product_id, cluster_id) of every product."""
-    ready = cluster.cut(prepared(products))
+    ready = prepared(products)
     _, scored = experiment.scored(ready, t, p, coefficients)
     return cluster.clusters(ready, scored, p.epsilon)

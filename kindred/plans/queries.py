@@ -110,7 +110,7 @@ def band_params(spark, sf_dir):
 
 
 def _shape(ready: DataFrame) -> tuple[DataFrame, Bands]:
-    words = vocab.vocabulary(ready)
+    words = cluster.cut(vocab.vocabulary(ready))
     return words, Bands.of(words.count(), THRESHOLD)
 
 
@@ -122,7 +122,7 @@ def hash_family(spark, sf_dir):
 def _signed(spark, sf_dir) -> tuple[DataFrame, Bands]:
     ready = _prepared(spark, sf_dir)
     words, shape = _shape(ready)
-    return minhash.signatures(vocab.representation(ready, words), shape, steady_coefficients(shape.s)), shape
+    return cluster.cut(minhash.signatures(vocab.representation(ready, words), shape, steady_coefficients(shape.s))), shape
 
 
 def minhash_signature(spark, sf_dir):
@@ -223,7 +223,7 @@ SWEPT, RUNS = (0.3, 0.5, 0.7), ("1", "2")
 
 def _metrics(spark, sf_dir) -> DataFrame:
     """Blocking quality of the products outside the bag, for each threshold and run."""
-    ready, rows = cluster.cut(_prepared(spark, sf_dir)), []
+    ready, rows = _prepared(spark, sf_dir), []
     for t in SWEPT:
         found = cluster.cut(blocking.block(ready, t)[0])
         for run in RUNS:
