@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm import chat, exact_dedup, near_dedup, packing, pieces, pii, quality, sharding, topk
+from kindred.llm import chat, exact_dedup, near_dedup, packing, passages, pieces, pii, quality, sharding, topk
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op2_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.shared_passages(_read(spark, sf_dir, "documents"))
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dedup.near_duplicates(_read(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_shingles", "component_id", "kept", "class_id")
@@ -59,5 +63,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_packing, op3_near_dedup, op4_top_k, op5_chat, op6_sharding, op7_pieces, op8_pii, op9_exact_dedup, op10_quality)
+    named = (op1_packing, op2_passages, op3_near_dedup, op4_top_k, op5_chat, op6_sharding, op7_pieces, op8_pii, op9_exact_dedup, op10_quality)
     return {f.__name__: f for f in named}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import tempfile
 import uuid
 
@@ -35,6 +36,8 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/kindred-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     _written.append((spark, path))
+    gc.collect()  # lets Spark drop the shuffle files behind frames that are gone
+    spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
