@@ -6,7 +6,8 @@ register keeps the count of leading zeros and ten bits of mantissa. Bands of
 five compressed registers (empty ones borrow along a fixed random order)
 propose candidates; the share of equal registers, corrected for registers that
 agree by chance, estimates the Jaccard similarity, and what is not surely below
-the threshold is confirmed on the full sets.
+the threshold is confirmed on the full sets. Estimates are surer than a coin's
+where registers cover most of a small set, and the margin takes that in.
 
 No pair is lost to a large bucket, and no bucket is expanded into its pairs:
 
@@ -143,6 +144,19 @@ def estimate(one: np.ndarray, many: np.ndarray, n: int, sizes: np.ndarray) -> tu
     return (equal - by_chance) / (1 - by_chance), filled
 
 
+def margin(sizes: np.ndarray, filled: np.ndarray, threshold: float, deviations: float) -> np.ndarray:
+    """How far below the threshold an estimate may lie, for sets whose sizes add up to ``sizes``.
+
+    At the threshold their union has sizes / (1 + threshold) members. The filled
+    registers are as many members of it, drawn without repeats, so the estimate
+    is the surer the more of the union they cover. More filled registers than
+    that rule the pair out.
+    """
+    union = sizes / (1 + threshold)
+    spread = np.sqrt(threshold * (1 - threshold) / filled * np.maximum(0, 1 - filled / union))
+    return np.where(filled > union + 1e-9, -np.inf, deviations * spread + 2 / filled)
+
+
 def _list(parts: list[np.ndarray]) -> pa.Array:
     offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
     flat = np.concatenate(parts) if parts else np.zeros(0, U)
@@ -273,7 +287,7 @@ def residual(members: DataFrame, threshold: float, block_rows: int, deviations:
             for at in range(0, len(j), 512):
                 k = j[at : at + 512]
                 value, rests_on = estimate(fine[i], fine[k], n[i], n[k])
-                k = k[value >= threshold - deviations * np.sqrt(threshold * (1 - threshold) / rests_on)]
+                k = k[value >= threshold - margin(n[i] + n[k], rests_on, threshold, deviations)]
                 found += [(min(c[i], c[o]), max(c[i], c[o])) for o in k]
         return found
 
