@@ -12,8 +12,10 @@ where registers cover most of a small set, and the margin takes that in.
 No pair is lost to a large bucket, and no bucket is expanded into its pairs:
 
 1. Equal sets are one class from the start.
-2. Each class is checked against one hub, the smallest class that it shares a
-   bucket with, and what is confirmed is joined into components.
+2. Each class is checked against a few hubs: the first class that it shares a
+   bucket with, in each of several orders. What is confirmed is joined into
+   components, and a second round with other orders does the same for classes
+   whose buckets still hold several components.
 3. Only buckets that still hold several components are looked at again. Their
    members are dealt in blocks, estimates run inside a task, and only pairs of
    different components that pass the estimate come out to be confirmed.
@@ -254,6 +256,31 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("c"), F.col("v").alias("comp"))
 
 
+def stars(shared: DataFrame, orders: np.ndarray) -> DataFrame:
+    """Distinct pairs (a, b) of each class with its hub in each order: the first class in any bucket that the class is in.
+
+    An order is that of the class keys with some bits flipped, so it is a plain
+    minimum of whole numbers, and a class gives one pair an order at most.
+    """
+    names = [f"m{i}" for i in range(len(orders))]
+    flipped = [F.col("c").bitwiseXOR(F.lit(int(o))) for o in orders.view(np.int64)]
+    hubs = shared.groupBy("key").agg(*[F.min(x).alias(m) for x, m in zip(flipped, names, strict=True)])
+    own = shared.select("key", "c").join(hubs, "key").groupBy("c").agg(*[F.min(m).alias(m) for m in names])
+    back = [F.col(m).bitwiseXOR(F.lit(int(o))) for m, o in zip(names, orders.view(np.int64), strict=True)]
+    pairs = own.select("c", F.explode(F.array_distinct(F.array(*back))).alias("hub")).filter("hub <> c")
+    return pairs.select(F.least("c", "hub").alias("a"), F.greatest("c", "hub").alias("b")).distinct()
+
+
+_ORDERS = np.arange(6, dtype=U) << U(61) ^ np.random.default_rng(22).integers(0, 1 << 61, (2, 6), dtype=U)
+
+
+def open_buckets(shared: DataFrame, comp: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``shared`` with each class's component so far, and the buckets (key, size) that hold several."""
+    state = shared.join(comp, "c", "left").select("key", "band", "c", F.coalesce("comp", "c").alias("comp"))
+    several = state.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo <> hi").select("key", "size")
+    return state, several
+
+
 def residual(members: DataFrame, threshold: float, block_rows: int, deviations: float) -> DataFrame:
     """Pairs of different components that share a bucket and may be similar enough.
 
@@ -351,15 +378,19 @@ def near_duplicates(
     made = full_sets(picked.select("text"), width).join(needed, "c", "left_semi")
     sets = staged(made.groupBy("c").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles"), F.first("fine").alias("fine")), "sets")
 
-    stars = shared.groupBy("c").agg(F.min("hub").alias("hub")).filter("hub <> c").select(F.col("hub").alias("a"), F.col("c").alias("b"))
-    links = staged(confirmed(stars, sets, percent), "links")
-    comp = staged(components(links), "components")
-    state = shared.join(comp, "c", "left").select("key", "band", "c", F.coalesce("comp", "c").alias("comp"))
-    open_ = state.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo <> hi").select("key", "size")
+    first = staged(confirmed(stars(shared, _ORDERS[0]), sets, percent), "links")
+    comp = staged(components(first), "components")
+    state, open_ = open_buckets(shared, comp)
+    again = stars(state.join(open_, "key", "left_semi"), _ORDERS[1])
+    of_a, of_b = (comp.select(F.col("c").alias(x), F.col("comp").alias(f"comp_{x}")) for x in ("a", "b"))
+    again = again.join(of_a, "a", "left").join(of_b, "b", "left").filter(F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b")).select("a", "b")
+    second = confirmed(again, sets, percent)
+    # components stand for their links
+    comp = staged(components(comp.select(F.col("c").alias("a"), F.col("comp").alias("b")).unionByName(second)), "components")
+    state, open_ = open_buckets(shared, comp)
     members = state.join(open_, "key").join(classes.select("c", "bands"), "c").join(sets.select("c", "n", "fine"), "c")
     more = staged(residual(members, percent / 100, block_rows, deviations).distinct(), "candidates")
     links2 = confirmed(more, sets, percent)
-    # the first components stand for their links
     every = comp.select(F.col("c").alias("a"), F.col("comp").alias("b")).unionByName(links2)
     whole = components(every)
     discard(shared), discard(sets), discard(more)
