@@ -170,7 +170,8 @@ def top_k(
 
     Components become floor(scale * x) and scores are whole numbers. A query's
     own row (and any other with its id) is no candidate; equal scores go to the
-    smaller id. A query with fewer than k candidates gets all of them. Vectors
+    smaller id; a score that no long holds is cut to the largest or smallest
+    one. A query with fewer than k candidates gets all of them. Vectors
     that are null or hold a null, NaN or infinite component, and rows without
     an id, take no part; vectors meet only those of their own length. Repeated
     rows of one id count once. ``pivots`` (at most so many vectors reach the
@@ -190,7 +191,7 @@ def top_k(
     asked_by = visits(queries, centres, summary, k, block_rows).withColumn("chunk", F.lit(0).cast("bigint"))
     chunks = max(1, -(-queries.count() // chunk_rows))
     if chunks > 1:
-        data = data.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).cast("bigint"))
+        data = data.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)).cast("array<bigint>")))
         asked_by = asked_by.withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(chunks)))
     else:
         data = data.withColumn("chunk", F.lit(0).cast("bigint"))
