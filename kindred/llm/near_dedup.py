@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.store import col, discard, staged
+from kindred.llm.store import col, discard, fresh, staged
 
 ROWS, BANDS = 5, 51
 BAND_BITS = 8  # 256 buckets for the bands
@@ -419,5 +419,6 @@ def drop_near(df: DataFrame, text: str = "text", key: str = "doc_id", **options)
     its smallest key.
     """
     marks = near_duplicates(df, text, key, **options)
-    away = marks.filter(~F.col("kept") & col(key).isNotNull()).select(col(key).alias("k_id"), F.col("text_hash").alias("k_text")).distinct()
-    return df.join(away, (col(key) == F.col("k_id")) & (F.xxhash64(col(text)) == F.col("k_text")), "left_anti")
+    id_, hash_ = fresh(df, "k_id"), fresh(df, "k_hash")
+    away = marks.filter(~F.col("kept") & col(key).isNotNull()).select(col(key).alias(id_), F.col("text_hash").alias(hash_)).distinct()
+    return df.join(away, (col(key) == F.col(id_)) & (F.xxhash64(col(text)) == F.col(hash_)), "left_anti")

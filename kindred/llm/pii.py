@@ -23,7 +23,7 @@ import random
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm.store import col
+from kindred.llm.store import col, fresh
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -360,7 +360,7 @@ def redact(df: DataFrame, text: str = "text", **options) -> DataFrame:
 
     Rows, other columns and null texts stay as they are.
     """
-    spans, base = "k_spans", "k_base"
+    spans, base, once = (fresh(df, x) for x in ("k_spans", "k_base", "k_apart"))
     found = find_spans(df, text, base=base, spans=spans, **options)
     t = col(text)
     ordered = F.array_sort(F.transform(F.col(spans), lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"), c["kind"].alias("kind"))))
@@ -375,13 +375,13 @@ def redact(df: DataFrame, text: str = "text", **options) -> DataFrame:
     tags = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     # each span with the text before it, then what is left
     parts = F.transform(
-        F.col("k_apart"),
+        F.col(once),
         lambda c, i: F.concat(
-            F.substring(t, F.when(i > 0, F.get(F.col("k_apart"), i - 1)["e"]).otherwise(F.lit(0)) + 1, c["s"] - F.when(i > 0, F.get(F.col("k_apart"), i - 1)["e"]).otherwise(F.lit(0))),
+            F.substring(t, F.when(i > 0, F.get(F.col(once), i - 1)["e"]).otherwise(F.lit(0)) + 1, c["s"] - F.when(i > 0, F.get(F.col(once), i - 1)["e"]).otherwise(F.lit(0))),
             F.get(tags, c["kind"]),
         ),
     )
-    tail = F.substring(t, F.element_at(F.col("k_apart"), -1)["e"] + 1, F.length(t))
+    tail = F.substring(t, F.element_at(F.col(once), -1)["e"] + 1, F.length(t))
     clean = F.when(F.size(spans) > 0, F.concat(F.array_join(parts, ""), tail)).otherwise(t)
-    found = found.withColumn("k_apart", F.when(F.size(spans) > 0, apart).otherwise(F.array().cast("array<struct<s:int,e:int,kind:int>>")))
+    found = found.withColumn(once, F.when(F.size(spans) > 0, apart).otherwise(F.array().cast("array<struct<s:int,e:int,kind:int>>")))
     return found.select(*[clean.alias(c) if c == text else col(c) for c in df.columns])

@@ -37,7 +37,8 @@ def propagate(cells: DataFrame, n_shards: int, quota: float, sizes: list[int], r
     """
     for r in range(rounds):
         votes = cells.groupBy("g", "shard").agg(F.sum("n").alias("votes"))
-        wish = votes.groupBy("g").agg(F.max_by("shard", F.struct("votes", -F.col("shard"))).alias("wish"))
+        # equal votes are settled by a hash of text and shard, so that no shard is everybody's wish
+        wish = votes.groupBy("g").agg(F.max_by("shard", F.struct("votes", F.xxhash64("g", "shard"))).alias("wish"))
         moving = staged(cells.join(wish, "g"), f"round_{r}")
         flows = moving.filter("shard <> wish").groupBy("shard", "wish").agg(F.sum("n").alias("n")).collect()  # at most shards squared
         if not flows:

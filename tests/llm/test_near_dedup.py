@@ -75,7 +75,7 @@ def test_margin_misses_nothing():
     rng = np.random.default_rng(5)
     for n in (6, 30, 146, 900):
         for _ in range(100):
-            k = next(k for k in range(n) if 100 * k >= 75 * (2 * n - k))
+            k = next(k for k in range(n + 1) if 100 * k >= 75 * (2 * n - k))
             x = np.unique(rng.integers(0, 1 << 63, 2 * n, dtype=np.uint64))
             rng.shuffle(x)
             a, b = np.sort(x[:n]), np.sort(x[n - k : 2 * n - k])
