@@ -17,8 +17,12 @@ No pair is lost to a large bucket, and no bucket is expanded into its pairs:
    components, and a second round with other orders does the same for classes
    whose buckets still hold several components.
 3. Only buckets that still hold several components are looked at again. Their
-   members are dealt in blocks, estimates run inside a task, and only pairs of
-   different components that pass the estimate come out to be confirmed.
+   members are dealt in blocks. A set with no more members than it has
+   registers travels whole, so a task settles such pairs itself; of larger sets
+   the registers travel and give estimates. What is settled is joined inside
+   the task, and only pairs that join different components come out to be
+   confirmed: fewer than the block has members, but for pairs of larger sets
+   that lie within the estimate's margin around the threshold.
 
 With 51 bands of 5 registers a pair at the threshold of 0.75 is missed with
 odds of one in a million; the estimate's margin is 4.5 standard deviations.
@@ -159,6 +163,16 @@ def margin(sizes: np.ndarray, filled: np.ndarray, threshold: float, deviations:
     return np.where(filled > union + 1e-9, -np.inf, deviations * spread + 2 / filled)
 
 
+def overlaps(one: np.ndarray, many: list[np.ndarray]) -> np.ndarray:
+    """How many members of a sorted set are in each of some others, none of them empty."""
+    if not many:
+        return np.zeros(0, np.int64)
+    flat = np.concatenate(many)
+    at = np.minimum(np.searchsorted(one, flat), len(one) - 1)
+    sizes = np.array([len(m) for m in many])
+    return np.add.reduceat((one[at] == flat).astype(np.int64), np.cumsum(sizes) - sizes)
+
+
 def _list(parts: list[np.ndarray]) -> pa.Array:
     offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
     flat = np.concatenate(parts) if parts else np.zeros(0, U)
@@ -207,14 +221,14 @@ def signatures(df: DataFrame, text: str, key: str, width: int) -> DataFrame:
 
 
 def full_sets(rows: DataFrame, width: int) -> DataFrame:
-    """(c, n, shingles, fine) of rows (text): the whole set and its fine registers."""
+    """(c, n, shingles, fine) of rows (text): the whole set, and the fine registers of one with more members than those."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, texts in _slices(batch, 0):
                 sets = [s for s in shingle_sets(texts, width) if len(s)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([class_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), _list(sets), pa.array([registers(s, FINE_BITS).tobytes() for s in sets], pa.binary())],
+                    [pa.array([class_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), _list(sets), pa.array([registers(s, FINE_BITS).tobytes() if len(s) > 1 << FINE_BITS else None for s in sets], pa.binary())],
                     ["c", "n", "shingles", "fine"],
                 )
 
@@ -281,31 +295,39 @@ def open_buckets(shared: DataFrame, comp: DataFrame) -> tuple[DataFrame, DataFra
     return state, several
 
 
-def residual(members: DataFrame, threshold: float, block_rows: int, deviations: float) -> DataFrame:
-    """Pairs of different components that share a bucket and may be similar enough.
+def residual(members: DataFrame, percent: int, block_rows: int, deviations: float, trust: bool = True) -> DataFrame:
+    """Pairs (a, b, settled) of different components that share a bucket and may be similar enough.
 
-    ``members``: (key, band, c, comp, n, bands, fine, size), size being the
-    bucket's. A bucket is cut into blocks, and each pair of blocks is a group.
-    Of the bands that two classes share, only the first reports them.
+    ``members``: (key, band, c, comp, n, bands, shingles, fine, size), size being
+    the bucket's; ``shingles`` or ``fine`` is null. A bucket is cut into blocks,
+    and each pair of blocks is a group. Of the bands that two classes share,
+    only the first reports them. With ``trust`` an estimate that lies above the
+    threshold by its margin settles a pair like a count on whole sets; the
+    caller has to call again without it if such a pair is not confirmed.
     """
+    threshold = percent / 100
     blocks = F.ceil(F.col("size") / block_rows).cast("int")
     own = F.pmod(F.xxhash64("c"), blocks).cast("int")
     dealt = members.withColumn("x", own).withColumn("y", F.explode(F.sequence(F.lit(0), blocks - 1)))
     dealt = dealt.withColumn("low", F.least("x", "y")).withColumn("high", F.greatest("x", "y"))
-    dealt = dealt.select("key", "low", "high", "band", "x", "c", "comp", "n", "bands", "fine")
+    dealt = dealt.select("key", "low", "high", "band", "x", "c", "comp", "n", "bands", "shingles", "fine")
     dealt = dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
 
-    def solve(rows: list[pa.Table]) -> list[tuple[int, int]]:
+    def solve(rows: list[pa.Table]) -> list[tuple[int, int, bool]]:
         t = pa.concat_tables(rows)
         if t.num_rows < 2:
             return []
-        c, comp, n, x = (t[k].to_numpy() for k in ("c", "comp", "n", "x"))
+        c, n, x = (t[k].to_numpy() for k in ("c", "n", "x"))
+        part = np.unique(t["comp"].to_numpy(), return_inverse=True)[1]  # the components, joined as pairs are settled
         band, split = t["band"][0].as_py(), t["low"][0] != t["high"][0]
         bands = t["bands"].combine_chunks().flatten().to_numpy().reshape(len(c), -1)
-        fine = np.frombuffer(b"".join(t["fine"].to_pylist()), np.uint16).reshape(len(c), -1)
-        found = []
+        held = t["shingles"].combine_chunks()
+        length = held.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        sets = np.split(held.flatten().to_numpy().view(U), np.cumsum(length)[:-1])
+        fine = np.stack([registers(s, FINE_BITS) if f is None else np.frombuffer(f, np.uint16) for s, f in zip(sets, t["fine"].to_pylist(), strict=True)])
+        found, unsure = [], []
         for i in range(len(c) - 1):
-            j = np.flatnonzero(comp[i + 1 :] != comp[i]) + i + 1
+            j = np.flatnonzero(part[i + 1 :] != part[i]) + i + 1
             if split:
                 j = j[x[j] != x[i]]
             j = j[threshold * np.maximum(n[j], n[i]) <= np.minimum(n[j], n[i])]
@@ -313,16 +335,29 @@ def residual(members: DataFrame, threshold: float, block_rows: int, deviations:
                 j = j[np.argmax(bands[j] == bands[i], axis=1) == band]
             for at in range(0, len(j), 512):
                 k = j[at : at + 512]
+                k = k[part[k] != part[i]]
+                if not len(k):
+                    continue
                 value, rests_on = estimate(fine[i], fine[k], n[i], n[k])
-                k = k[value >= threshold - margin(n[i] + n[k], rests_on, threshold, deviations)]
-                found += [(min(c[i], c[o]), max(c[i], c[o])) for o in k]
-        return found
+                room = margin(n[i] + n[k], rests_on, threshold, deviations)
+                near = value >= threshold - room
+                k, settled = k[near], (value >= threshold + room)[near] & trust
+                whole = (length[i] > 0) & (length[k] > 0)
+                shared = overlaps(sets[i], [sets[o] for o in k[whole]])
+                settled[whole] = 100 * shared >= percent * (n[i] + n[k[whole]] - shared)
+                unsure += [(i, o) for o in k[~whole & ~settled]]
+                for o in k[settled]:
+                    if part[o] != part[i]:
+                        part[part == part[o]] = part[i]
+                        found.append((min(c[i], c[o]), max(c[i], c[o]), True))
+        return found + [(min(c[i], c[o]), max(c[i], c[o]), False) for i, o in unsure if part[i] != part[o]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, at = [], None
 
         def out(found: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([int(f[i]) for f in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+            ends = [pa.array([int(f[i]) for f in found], pa.int64()) for i in (0, 1)]
+            return pa.RecordBatch.from_arrays([*ends, pa.array([f[2] for f in found], pa.bool_())], ["a", "b", "settled"])
 
         for batch in batches:
             keys = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(3)], 1)
@@ -338,7 +373,7 @@ def residual(members: DataFrame, threshold: float, block_rows: int, deviations:
         if held:
             yield out(solve(held))
 
-    return dealt.mapInArrow(run, "a bigint, b bigint")
+    return dealt.mapInArrow(run, "a bigint, b bigint, settled boolean")
 
 
 def near_duplicates(
@@ -388,9 +423,13 @@ def near_duplicates(
     # components stand for their links
     comp = staged(components(comp.select(F.col("c").alias("a"), F.col("comp").alias("b")).unionByName(second)), "components")
     state, open_ = open_buckets(shared, comp)
-    members = state.join(open_, "key").join(classes.select("c", "bands"), "c").join(sets.select("c", "n", "fine"), "c")
-    more = staged(residual(members, percent / 100, block_rows, deviations).distinct(), "candidates")
-    links2 = confirmed(more, sets, percent)
+    sent = sets.select("c", "n", F.when(F.col("fine").isNull(), F.col("shingles")).alias("shingles"), "fine")
+    members = state.join(open_, "key").join(classes.select("c", "bands"), "c").join(sent, "c")
+    more = staged(residual(members, percent, block_rows, deviations).distinct(), "candidates")
+    links2 = staged(confirmed(more, sets, percent), "links")
+    if more.filter("settled").join(links2, ["a", "b"], "left_anti").limit(1).count():  # an estimate was wrong by more than its margin
+        more = staged(residual(members, percent, block_rows, deviations, trust=False).distinct(), "candidates")
+        links2 = staged(confirmed(more, sets, percent), "links")
     every = comp.select(F.col("c").alias("a"), F.col("comp").alias("b")).unionByName(links2)
     whole = components(every)
     discard(shared), discard(sets), discard(more)

@@ -64,6 +64,40 @@ def test_one_group_around_the_threshold(spark):
     assert found(spark.createDataFrame(rows, "doc_id bigint, text string"), block_rows=16) == brute(rows)
 
 
+def test_one_group_of_sets_too_large_to_travel_whole(spark):
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(1600)]
+    rows = []
+    for d in range(60):
+        w = list(base)
+        for _ in range(rng.randint(0, 50)):
+            w[rng.randrange(1600)] = f"x{rng.randrange(10**6)}"
+        rows.append((d, " ".join(w[: rng.choice((1600, 1000))])))
+    assert found(spark.createDataFrame(rows, "doc_id bigint, text string"), block_rows=16) == brute(rows)
+
+
+def test_overlaps():
+    rng = np.random.default_rng(9)
+    sets = [np.unique(rng.integers(0, 40, rng.integers(1, 30), dtype=np.uint64)) for _ in range(50)]
+    assert near_dedup.overlaps(sets[0], sets).tolist() == [len(np.intersect1d(sets[0], s)) for s in sets]
+    assert not len(near_dedup.overlaps(sets[0], []))
+
+
+def test_a_task_reports_less_pairs_than_it_has_members(spark):
+    """A group all of whose pairs are links, each its own component: the residual step joins them inside the task."""
+    rng = np.random.default_rng(10)
+    for size in (300, 3000):
+        core = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64))
+        rows = []
+        for i in range(40):
+            s = np.unique(np.concatenate([core, rng.integers(0, 1 << 63, size // 50, dtype=np.uint64)]))
+            whole = len(s) <= 1 << near_dedup.FINE_BITS
+            rows.append((1, 0, i, i, len(s), [7] * near_dedup.BANDS, s.view(np.int64).tolist() if whole else None, None if whole else bytearray(near_dedup.registers(s, near_dedup.FINE_BITS).tobytes()), 40))
+        schema = "key bigint, band int, c bigint, comp bigint, n bigint, bands array<bigint>, shingles array<bigint>, fine binary, size bigint"
+        pairs = near_dedup.residual(spark.createDataFrame(rows, schema), 75, 1024, 4.5).collect()
+        assert len(pairs) == 39 and all(p.settled for p in pairs)
+
+
 def test_drop_keeps_columns_and_one_of_each(hard):
     kept = near_dedup.drop_near(hard)
     assert kept.columns == hard.columns
