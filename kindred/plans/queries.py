@@ -222,7 +222,7 @@ SWEPT, RUNS = (0.3, 0.5, 0.7), ("1", "2")
 
 
 def _metrics(spark, sf_dir) -> DataFrame:
-    """Blocking quality of the products outside the bag, for each threshold and run."""
+    """Blocking quality of the products outside the bag, for some thresholds and runs and without tuning, so that SQL can follow."""
     ready, rows = _prepared(spark, sf_dir), []
     for t in SWEPT:
         found = cluster.cut(blocking.block(ready, t)[0])
@@ -242,6 +242,15 @@ def metric_curve(spark, sf_dir):
     return _rounded(experiment.curves(experiment.averaged(_metrics(spark, sf_dir))), "fraction", "value")
 
 
+def sweep_avg(spark, sf_dir):
+    """The sweep itself: all metrics at all thresholds, means of five splits, each blocked, tuned and measured on its own."""
+    return _rounded(experiment.averaged(experiment.sweep(_prepared(spark, sf_dir))), *experiment.METRICS)
+
+
+def sweep_curve(spark, sf_dir):
+    return _rounded(experiment.curves(experiment.averaged(experiment.sweep(_prepared(spark, sf_dir)))), "fraction", "value")
+
+
 def tune_epsilon(spark, sf_dir):
     """Over pairs below each cut, without clustering them, so that SQL can follow."""
     ready, d = _distances(spark, sf_dir)
@@ -262,7 +271,7 @@ def queries() -> dict[str, Query]:
         comparable_pairs, condensed_features, vocabulary, binary_repr, band_params, hash_family, minhash_signature, lsh_bands,
         lsh_candidates, qgram_sim, runs_lev, key_matches, feature_sim, mw_perc, hybrid_dist, pair_components, clusters,
         predicted_pairs, total_comparisons, total_duplicates, blocking_metrics, confusion, bootstrap_split, metric_avg,
-        metric_curve, tune_epsilon, tune_clusters,
+        metric_curve, sweep_avg, sweep_curve, tune_epsilon, tune_clusters,
     ]
     titles = {"title_cosine": ("cosine", six), "avg_lev_sim": ("avg_lev", six), "title_veto": ("veto", lambda c: c), "title_sim": ("title_sim", six)}
     return {f.__name__: f for f in named} | {name: _title(*x) for name, x in titles.items()}

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from kindred.functions.similarity import Parameters
 from kindred.operators import blocking, brands, cluster, evaluate, experiment, scoring, vocab
-from kindred.plans import pipeline
+from kindred.plans import pipeline, queries
 from kindred.sources import offers, products
 
 SF = "/root/testdata/sf0.001"
@@ -179,3 +179,25 @@ def test_veto(shop):
     ready = brands.with_brand(shop)
     pairs = ready.sparkSession.createDataFrame([(1, 2), (1, 3), (2, 4), (3, 4)], "l bigint, r bigint")
     assert {tuple(r) for r in brands.comparable(pairs, ready).collect()} == {(1, 2), (3, 4)}
+
+
+def test_sweeps_hold_all_thresholds_runs_and_metrics(spark, monkeypatch):
+    """The registered sweeps against means by hand; splits themselves are stood in for."""
+    rng, made = np.random.default_rng(4), {}
+
+    def one(products, t, seed, p, epsilons):
+        assert epsilons == experiment.EPSILONS and products.count() > 0
+        made[t, seed] = values = rng.random(len(experiment.METRICS)).round(3).tolist()
+        return spark.createDataFrame([(t, seed, *values)], "t double, seed int, " + ", ".join(f"{m} double" for m in experiment.METRICS))
+
+    monkeypatch.setattr(experiment, "one_bootstrap", one)
+    ready = pipeline.prepared(offers.products(spark, SF).filter("product_id < 20"))
+    monkeypatch.setattr(queries, "_prepared", lambda spark, folder: ready)
+    means = {r.t: r for r in queries.queries()["sweep_avg"](spark, SF).collect()}
+    assert set(means) == set(experiment.THRESHOLDS) and len(made) == 35
+    for t, r in means.items():
+        for i, m in enumerate(experiment.METRICS):
+            assert abs(r[m] - np.mean([v[i] for (u, _), v in made.items() if u == t])) < 1e-6
+    made.clear()
+    curve = queries.queries()["sweep_curve"](spark, SF).collect()
+    assert {(r.t, r.metric) for r in curve} == {(t, m) for t in experiment.THRESHOLDS for m in experiment.METRICS if m != "fraction"}
