@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.store import col, discard, fresh, staged
+from kindred.llm.store import col, discard, fresh, lookup, staged
 
 ROWS, BANDS = 5, 51
 BAND_BITS = 8  # 256 buckets for the bands
@@ -395,7 +395,9 @@ def near_duplicates(
     alone. A row with a null key stands in its class but lends no key: where
     no row of its component has one, ``component_id`` is null and ``kept`` is
     true. Repeated rows share their class and all carry the same ``kept``.
-    No rows give no rows. Other columns are not read.
+    No rows give no rows. Other columns are not read. Equal sets are one class,
+    so ties and copies cost a row each; very long texts are hashed whole, and
+    their sets are compared whole.
     """
     sig = staged(signatures(df, text, key, width), "signatures")
     classes = sig.filter("c is not null").groupBy("c").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"))
@@ -421,7 +423,8 @@ def near_duplicates(
     again = again.join(of_a, "a", "left").join(of_b, "b", "left").filter(F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b")).select("a", "b")
     second = confirmed(again, sets, percent)
     # components stand for their links
-    comp = staged(components(comp.select(F.col("c").alias("a"), F.col("comp").alias("b")).unionByName(second)), "components")
+    begun, comp = comp, staged(components(comp.select(F.col("c").alias("a"), F.col("comp").alias("b")).unionByName(second)), "components")
+    discard(begun)
     state, open_ = open_buckets(shared, comp)
     sent = sets.select("c", "n", F.when(F.col("fine").isNull(), F.col("shingles")).alias("shingles"), "fine")
     members = state.join(open_, "key").join(classes.select("c", "bands"), "c").join(sent, "c")
@@ -432,13 +435,15 @@ def near_duplicates(
         links2 = staged(confirmed(more, sets, percent), "links")
     every = comp.select(F.col("c").alias("a"), F.col("comp").alias("b")).unionByName(links2)
     whole = components(every)
-    discard(shared), discard(sets), discard(more)
 
-    named = classes.select("c", "rep").join(whole, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
+    named = staged(classes.select("c", "rep").join(whole, "c", "left").withColumn("comp", F.coalesce("comp", "c")), "named")
+    for done in (shared, sets, first, comp, more, links2, classes):
+        discard(done)
     least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    of = staged(named.join(least, "comp").select("c", "component_id"), "of")
-    some, none = sig.filter("c is not null"), sig.filter("c is null")
-    met = some.join(of, "c").select("id", "t", "n", "component_id", "c")
+    of = staged(lookup(named, least, "comp").select("c", "component_id"), "of")
+    discard(named)
+    some, none = sig.filter("c is not null").select("id", "t", "n", "c"), sig.filter("c is null")
+    met = lookup(some, of, "c").select("id", "t", "n", "component_id", "c")
     alone = none.select("id", "t", "n", F.col("id").alias("component_id"), "c")
     return met.unionByName(alone).select(
         F.col("id").alias(key),

@@ -65,3 +65,27 @@ def test_features_do_not_depend_on_the_batch():
     x, first = quality.encode(texts)
     for i, t in enumerate(texts):
         assert np.allclose(quality.encode([t])[0], x[first[i] : first[i + 1]])
+
+
+def test_long_texts_are_encoded_in_parts():
+    texts = ["", "ab cd " * 2000, "x"]
+    assert np.allclose(quality.encode(texts, most=3 * quality.PASSAGE)[0], quality.encode(texts)[0])
+
+
+def test_gradients_add_up_over_parts():
+    rng = np.random.default_rng(12)
+    count = rng.integers(1, 6, 40)
+    first = np.concatenate([[0], np.cumsum(count)])
+    x, y = rng.normal(size=(first[-1], 9)).astype(np.float16), (rng.random(40) < 0.5).astype(np.float32)
+    whole, parts = quality.train(x, first, y, epochs=2), quality.train(x, first, y, epochs=2, most=7)
+    assert all(np.allclose(getattr(whole, k), getattr(parts, k), atol=1e-3) for k in quality.Model.LEARNT)
+
+
+def test_training_rows_are_bounded(spark):
+    documents, labels, _ = corpus(spark, 200)
+    documents = documents.union(documents)  # repeated rows count once
+    rows = quality.train_rows(documents, labels, "quality", "text", "doc_id", 50, 1 << 30)
+    assert rows.count() == 50 and rows.select("id").distinct().count() == 50
+    texts = {r.doc_id: len(r.text) for r in documents.collect()}
+    few = quality.train_rows(documents, labels, "quality", "text", "doc_id", 200, 20_000).collect()
+    assert few and sum(texts[r.id] for r in few) <= 20_000
