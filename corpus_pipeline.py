@@ -2,7 +2,9 @@
 
 Each stage takes all rows that the one before it kept and returns a DataFrame;
 between stages the rows are written as Parquet and read again, so a lost
-executor costs no earlier stage.
+executor costs no earlier stage. What a stage staged on its way is deleted when
+its rows are written. An empty table passes through all stages as one; columns
+beyond those of documents pass through all but the last.
 """
 
 from __future__ import annotations
@@ -11,26 +13,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindred.llm import exact_dedup, near_dedup, packing, pii, quality
-from kindred.llm.store import staged
+from kindred.llm.store import clearing, discard, staged
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier doesn't reject."""
+    """Documents that the classifier doesn't reject; null and empty texts are judged as empty ones, repeated rows alike."""
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
+    """One document of each group of equal texts, the one with the smallest key; null texts are empty ones, of repeated rows one stays."""
     return exact_dedup.drop_exact(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near-duplicates."""
+    """One document of each component of near-duplicates, the one with the smallest key; texts without words all stay."""
     return near_dedup.drop_near(docs)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data in the texts replaced by its kind; n_chars follows the text."""
+    """Personal data in the texts replaced by its kind; n_chars follows the text. Null texts stay null, every row stays."""
     clean = pii.redact(docs)
     if "n_chars" not in docs.columns:
         return clean
@@ -39,8 +41,8 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The layout of sequences: a row per piece of a document, with the checksum of its ids."""
-    return packing.pack_documents(docs, payload=("ids_crc32",))
+    """The sequences: a row per piece of a document, with its ids, their checksum and its place. Null and empty texts are the end id alone."""
+    return packing.pack_documents(docs, payload=("ids", "ids_crc32"))
 
 
 STAGES = [
@@ -54,12 +56,14 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = staged(docs, name)
-    return docs
+    for name, stage in STAGES[:-1]:
+        before = docs
+        with clearing() as kept:
+            docs = staged(stage(spark, before, sf_dir), name)
+            kept.append(docs)
+        discard(before)
+    return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: SQL has no classifier and no tokenizer; tests/llm holds the stages against brute-force versions.
+#: SQL has no classifier and no tokenizer; tests/llm/test_pipeline.py holds run() against a brute-force version.
 ORACLE_SQL = None
