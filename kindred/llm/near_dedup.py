@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.store import col, discard, fresh, lookup, staged
+from kindred.llm.store import col, discard, fresh, lookup, slices, staged
 
 ROWS, BANDS = 5, 51
 BAND_BITS = 8  # 256 buckets for the bands
@@ -179,19 +179,6 @@ def _list(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))
 
 
-def _slices(batch: pa.RecordBatch, column: int, size: int = 2_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Parts of a batch with about so many characters of text."""
-    texts = batch.column(column).to_pylist()
-    at = 0
-    while at < len(texts):
-        end, held = at, 0
-        while end < len(texts) and held < size:
-            held += len(texts[end] or "")
-            end += 1
-        yield batch.slice(at, end - at), [t or "" for t in texts[at:end]]
-        at = end
-
-
 def class_key(s: np.ndarray) -> int:
     whole = (s * _ODD[14] + (s >> U(32)) * _ODD[15]).sum(keepdims=True, dtype=U) + np.full(1, len(s), U) * _ODD[16]
     return int(mix(whole).view(np.int64)[0])
@@ -203,7 +190,7 @@ def signatures(df: DataFrame, text: str, key: str, width: int) -> DataFrame:
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in _slices(batch, 2):
+            for part, texts in slices(batch, 2):
                 sets = shingle_sets(texts, width)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -225,7 +212,7 @@ def full_sets(rows: DataFrame, width: int) -> DataFrame:
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, texts in _slices(batch, 0):
+            for _, texts in slices(batch, 0):
                 sets = [s for s in shingle_sets(texts, width) if len(s)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([class_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), _list(sets), pa.array([registers(s, FINE_BITS).tobytes() if len(s) > 1 << FINE_BITS else None for s in sets], pa.binary())],

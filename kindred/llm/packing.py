@@ -50,17 +50,17 @@ def encoder(path: str):
     byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(shown))}
     ranks = {bytes(byte[c] for c in piece): i for piece, i in made["model"]["vocab"].items() if piece not in special}
     fast = tiktoken.Encoding("byte_bpe", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
-    whole = Tokenizer.from_file(path)
+    whole = functools.cache(lambda: Tokenizer.from_file(path))
 
     def encode(text: str) -> list[int]:
         if any(s in text for s in special):
-            return whole.encode(text, add_special_tokens=False).ids
+            return whole().encode(text, add_special_tokens=False).ids
         try:
             return fast.encode_ordinary(text)
         except BaseException as e:  # the regex engine of tiktoken can panic on odd texts
             if isinstance(e, (KeyboardInterrupt, SystemExit, MemoryError)):
                 raise
-            return whole.encode(text, add_special_tokens=False).ids
+            return whole().encode(text, add_special_tokens=False).ids
 
     return encode
 
@@ -80,7 +80,7 @@ def cut(df: DataFrame, text: str, key: str, capacity: int, end_id: int, path: st
                 rows, start, length, total = [], [], [], []
                 out: dict[str, list] = {p: [] for p in payload}
                 held = 0
-                while at < batch.num_rows and held < 500_000:  # ids in hand
+                while at < batch.num_rows and held < 200_000:  # ids in hand
                     ids = np.array([*encode(texts[at].as_py() or ""), end_id], dtype="<u4")
                     for i in range(0, len(ids), capacity):
                         part = ids[i : i + capacity]

@@ -26,8 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.near_dedup import _slices
-from kindred.llm.store import col
+from kindred.llm.store import col, slices
 
 U = np.uint64
 BASE = U(0x9E3779B97F4A7C15 | 1)
@@ -256,20 +255,26 @@ def pieces(path: str) -> Pieces:
 
 
 def encode(df: DataFrame, text: str = "text", key: str = "doc_id", *, path: str | None = None) -> DataFrame:
-    """(key, ids): the piece ids of every row's whole text; none for a null or empty text. Other columns are not read."""
+    """(key, ids): the piece ids of every row's whole text; none for a null or empty text.
+
+    Null keys and repeated rows give rows like others; no rows give none. Other columns are not read, so their names are free.
+    """
     kind, path = df.schema[key].dataType.simpleString(), path or model_file()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(path)
         for batch in batches:
-            for part, texts in _slices(batch, 1):
+            for part, texts in slices(batch, 1, 2_000_000):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(model.encode(texts), pa.list_(pa.int32()))], ["id", "ids"])
 
     return df.select(col(key).alias("id"), col(text).cast("string").alias("text")).mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", key)
 
 
 def decode(df: DataFrame, ids: str = "ids", key: str = "doc_id", *, path: str | None = None) -> DataFrame:
-    """(key, text) of rows of piece ids; null ids decode to the empty text."""
+    """(key, text) of rows of piece ids; null ids decode to the empty text.
+
+    Null keys and repeated rows give rows like others; no rows give none.
+    """
     kind, path = df.schema[key].dataType.simpleString(), path or model_file()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,14 +292,15 @@ def round_trip(df: DataFrame, text: str = "text", key: str = "doc_id", *, path:
     """(key, n_pieces, ids_crc32, restored): every text encoded, decoded again and compared, in one pass.
 
     ``restored`` says that the decoded text is the text (the model writes a
-    blank as U+2581, so that character comes back as a blank).
+    blank as U+2581, so that character comes back as a blank). Null texts count
+    as empty; null keys and repeated rows give rows like others; no rows give none.
     """
     kind, path = df.schema[key].dataType.simpleString(), path or model_file()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(path)
         for batch in batches:
-            for part, texts in _slices(batch, 1):
+            for part, texts in slices(batch, 1, 2_000_000):
                 ids = model.encode(texts)
                 same = [model.decode(x) == t.replace(SPACE, " ") for x, t in zip(ids, texts, strict=True)]
                 crc = [zlib.crc32(x.astype("<u4").tobytes()) for x in ids]

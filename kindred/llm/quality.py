@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kindred.llm.store import col, fresh
+from kindred.llm.store import col, fresh, slices
 
 PASSAGE = 1024  # bytes
 GRAMS = 512
@@ -31,7 +31,7 @@ STYLE = 6
 WIDTH = 256 + GRAMS + STYLE
 
 
-def encode(texts: list[str], most: int = 1024 * PASSAGE) -> tuple[np.ndarray, np.ndarray]:
+def encode(texts: list[str], most: int = 256 * PASSAGE) -> tuple[np.ndarray, np.ndarray]:
     """Features of every passage of the texts, and each text's first passage (with the end). An empty text is one empty passage.
 
     Passages are encoded on their own, about ``most`` bytes at a time, so a very
@@ -83,7 +83,7 @@ def _encoded(raw: list[bytes]) -> np.ndarray:
     return np.concatenate([np.sqrt(share), np.sqrt(triple / length), style], 1)
 
 
-def _moments(x: np.ndarray, rows: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+def _moments(x: np.ndarray, rows: int = 512) -> tuple[np.ndarray, np.ndarray]:
     """Mean and deviation of every column, some rows at a time."""
     total, square = np.zeros(x.shape[1]), np.zeros(x.shape[1])
     for at in range(0, len(x), rows):
@@ -199,19 +199,6 @@ def train(x: np.ndarray, first: np.ndarray, y: np.ndarray, *, epochs: int = 30,
     return model
 
 
-def _parts(batch: pa.RecordBatch, column: int, size: int = 1_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Parts of a batch with about so many characters of text."""
-    texts = batch.column(column).to_pylist()
-    at = 0
-    while at < len(texts):
-        end, held = at, 0
-        while end < len(texts) and held < size:
-            held += len(texts[end] or "") + 256
-            end += 1
-        yield batch.slice(at, end - at), [t or "" for t in texts[at:end]]
-        at = end
-
-
 def held_out(key: Column) -> Column:
     """Rows whose labels are never learnt: crc32 of the key as text is divisible by 5; a null key is held out."""
     return F.coalesce(F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(5)) == 0, F.lit(True))
@@ -268,7 +255,7 @@ def fit(
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in _parts(batch, 3):
+            for part, texts in slices(batch, 3, 250_000):
                 x, first = encode(texts)
                 cuts = [(i, lo, min(lo + 64, b)) for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())) for lo in range(a, b, 64)]
                 at = pa.array([i for i, _, _ in cuts])
@@ -300,7 +287,7 @@ def score(df: DataFrame, model: Model | None, text: str = "text", *, out: str =
     A null text counts as empty. Without a model every score is 0.5. Columns of
     ``df`` with the results' names are replaced, all others are kept. Equal texts
     get equal scores, so repeated rows do; no rows give no rows. Very long texts
-    are scored whole, about a million characters of text at a time, or one text.
+    are scored whole, about 250,000 bytes of text at a time, or one text.
     """
     names = [c for c in df.columns if c not in (out, top)]
     if model is None:
@@ -310,7 +297,7 @@ def score(df: DataFrame, model: Model | None, text: str = "text", *, out: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model.load(made)
         for batch in batches:
-            for part, texts in _parts(batch, batch.num_columns - 1):
+            for part, texts in slices(batch, batch.num_columns - 1, 250_000):
                 x, first = encode(texts)
                 found = model.forward(model.scaled(x), first)
                 best = [int(np.argmax(found["a"][a:b])) for a, b in zip(first[:-1], first[1:])]

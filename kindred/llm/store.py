@@ -9,6 +9,9 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,6 +98,17 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, share: int = 2000) -> Da
     return rows.join(F.broadcast(hot), key).unionByName(rest)
 
 
+def slices(batch: pa.RecordBatch, column: int, size: int = 500_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Parts of a batch with about so many bytes of text, or one text, and their texts (null as empty)."""
+    held = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False) + 64)])
+    at = 0
+    while at < batch.num_rows:
+        end = min(batch.num_rows, max(at + 1, int(np.searchsorted(held, held[at] + size, "right")) - 1))
+        part = batch.slice(at, end - at)
+        yield part, [t or "" for t in part.column(column).to_pylist()]
+        at = end
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, lengthened until no column of ``df`` has it."""
     taken = {c.lower() for c in df.columns}
