@@ -7,11 +7,14 @@ A row that has a slot set only once is certainly unique and passes straight
 through; only rows that may be repeated are shuffled and grouped, and the
 grouping then tells exactly.
 
-The bitmaps are broadcast only where their measured size is within
-``broadcast_bytes``; beyond that every row takes the grouping path, with the
-same result. Groups are summed before they are shuffled, and rows meet their
-group's sum under a salt, so a group that holds a third of all rows is spread
-over ``salts`` tasks.
+Bitmaps of at most ``broadcast_bytes`` (measured) are broadcast. Larger ones
+meet the thin rows, a hash each, by a shuffle on the block; the hashes that turn
+out repeated then set the slots of a filter of at most ``broadcast_bytes``,
+which every text is tested against where it lies. So texts that are single
+don't shuffle at any size, but for the false positives of that last filter.
+
+Groups are summed before they are shuffled; the sums of groups with more than
+1/2000 of all rows, of which there are fewer than 2000, come back by a broadcast.
 
 All of this is DataFrame code: no Python runs on the executors.
 """
@@ -24,12 +27,16 @@ from pyspark.sql import functions as F
 from kindred.llm.store import col, discard, fresh, staged
 
 BITS = 32768  # of a bitmap_construct_agg bitmap
-SPACES = r"[\x20\x09-\x0D]+"
+SHARE = 2000  # groups with more than one part in so many of all rows count as large
+
+
+#: Runs that a space takes the place of: all but single spaces, which stay as they are.
+CHANGED = r"[\x09-\x0D][\x20\x09-\x0D]*+|\x20[\x20\x09-\x0D]++"
 
 
 def normalised(text: Column) -> Column:
-    """Each run of blanks as one space; null as the empty text."""
-    return F.regexp_replace(F.coalesce(text, F.lit("")), SPACES, " ")
+    """Each run of blanks (``[\\x20\\x09-\\x0D]+``) as one space; null as the empty text."""
+    return F.regexp_replace(F.coalesce(text, F.lit("")), CHANGED, " ")
 
 
 def _slots(h: Column, blocks: int) -> tuple[Column, Column, Column]:
@@ -41,21 +48,23 @@ def _slots(h: Column, blocks: int) -> tuple[Column, Column, Column]:
     )
 
 
-def repeated_slots(hashes: DataFrame, h: str, rows: int, bits_per_row: int = 16) -> tuple[DataFrame, int]:
-    """Bitmaps of the slots that are set at least twice: (block, bits), and the number of blocks.
+def blocks_of(rows: int, bits_per_row: int) -> int:
+    return max(1, -(-rows * bits_per_row // BITS))
+
+
+def slots_of(hashes: DataFrame, h: str, blocks: int) -> DataFrame:
+    """(block, slot) of each row, once where both slots fall on one position."""
+    block, first, second = _slots(col(h), blocks)
+    return hashes.select(block.alias("block"), F.explode(F.array_distinct(F.array(first, second))).alias("slot"))
+
+
+def repeated_slots(hashes: DataFrame, h: str, blocks: int) -> DataFrame:
+    """Bitmaps of the slots that are set at least twice: (block, bits).
 
-    A row sets each of its slots once, even where both fall on one position.
     The shuffle carries one partial count a slot and task, never a text.
     """
-    blocks = max(1, -(-rows * bits_per_row // BITS))
-    block, first, second = _slots(col(h), blocks)
-    slots = (
-        hashes.select(block.alias("block"), F.explode(F.array_distinct(F.array(first, second))).alias("slot"))
-        .groupBy("block", "slot")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .filter("n > 1")
-    )
-    return slots.groupBy("block").agg(F.bitmap_construct_agg("slot").alias("bits")), blocks
+    twice = slots_of(hashes, h, blocks).groupBy("block", "slot").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return twice.groupBy("block").agg(F.bitmap_construct_agg("slot").alias("bits"))
 
 
 def _has(bits: Column, slot: Column) -> Column:
@@ -63,13 +72,27 @@ def _has(bits: Column, slot: Column) -> Column:
     return F.getbit(byte, F.pmod(slot, F.lit(8)).cast("int")) == 1
 
 
-def maybe_repeated(df: DataFrame, h: Column, bitmaps: DataFrame, blocks: int, flag: str) -> DataFrame:
-    """``df`` with a boolean column that is false only for rows whose hash occurs once."""
+def maybe_repeated(df: DataFrame, h: Column, bitmaps: DataFrame, blocks: int, flag: str, small: bool = True) -> DataFrame:
+    """``df`` with a boolean column that is false only for rows whose hash is not in the filter; bitmaps that are not ``small`` meet the rows by a shuffle."""
     block, first, second = _slots(h, blocks)
     names = [fresh(df, x) for x in ("k_block", "k_bits")]
-    probe = F.broadcast(bitmaps.select(F.col("block").alias(names[0]), F.col("bits").alias(names[1])))
+    probe = bitmaps.select(F.col("block").alias(names[0]), F.col("bits").alias(names[1]))
     met = F.coalesce(_has(F.col(names[1]), first) & _has(F.col(names[1]), second), F.lit(False))
-    return df.join(probe, block == F.col(names[0]), "left").select(*map(col, df.columns), met.alias(flag))
+    return df.join(F.broadcast(probe) if small else probe.hint("shuffle_hash"), block == F.col(names[0]), "left").select(*map(col, df.columns), met.alias(flag))
+
+
+def repeated_filter(hashes: DataFrame, h: str, bits_per_row: int, broadcast_bytes: int) -> tuple[DataFrame, int]:
+    """A filter of at most ``broadcast_bytes`` that holds every hash which occurs twice or more: bitmaps (staged) and the number of blocks."""
+    most = max(1, broadcast_bytes // (BITS // 8 + 64))
+    blocks = blocks_of(hashes.count(), bits_per_row)
+    bitmaps = staged(repeated_slots(hashes, h, blocks), "bitmaps")
+    if bitmaps.count() <= most:
+        return bitmaps, blocks
+    maybe = maybe_repeated(hashes.select(h), col(h), bitmaps, blocks, "k_maybe", small=False).filter("k_maybe")
+    repeated = staged(maybe.groupBy(h).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(h), "repeated")
+    blocks = min(most, blocks_of(repeated.count(), bits_per_row))
+    held = slots_of(repeated, h, blocks).groupBy("block").agg(F.bitmap_construct_agg("slot").alias("bits"))
+    return staged(held, "bitmaps"), blocks
 
 
 def mark_exact(
@@ -79,7 +102,6 @@ def mark_exact(
     *,
     bits_per_row: int = 16,
     broadcast_bytes: int = 64 << 20,
-    salts: int = 16,
 ) -> DataFrame:
     """One row per input row: its key, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``.
 
@@ -94,17 +116,12 @@ def mark_exact(
     thin = staged(
         df.select(col(key).alias("id"), F.xxhash64(norm).alias("h"), F.unhex(F.sha2(norm, 256)).alias("sha")), "digests"
     )
-    rows = thin.count()
-    bitmaps, blocks = repeated_slots(thin, "h", rows, bits_per_row)
-    bitmaps = staged(bitmaps, "bitmaps")
-    if bitmaps.count() * (BITS // 8 + 64) <= broadcast_bytes:
-        flagged = maybe_repeated(thin, F.col("h"), bitmaps, blocks, "maybe")
-        single, maybe = flagged.filter(~F.col("maybe")), flagged.filter("maybe")
-    else:
-        single, maybe = thin.limit(0), thin
-    groups = maybe.groupBy("sha").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    salted = groups.select("*", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    met = maybe.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")).join(salted, ["sha", "salt"])
+    bitmaps, blocks = repeated_filter(thin, "h", bits_per_row, broadcast_bytes)
+    flagged = maybe_repeated(thin, F.col("h"), bitmaps, blocks, "maybe")
+    single, maybe = flagged.filter(~F.col("maybe")), flagged.filter("maybe")
+    groups = staged(maybe.groupBy("sha").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "groups")
+    large = F.broadcast(groups.filter(F.col("group_size") > max(256, thin.count() // SHARE)))  # fewer than SHARE rows
+    met = maybe.join(large, "sha").unionByName(maybe.join(large, "sha", "left_anti").join(groups, "sha"))
     columns = ["id", "keep_id", "group_size", "sha"]
     alone = single.select("id", F.col("id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), "sha")
     return alone.unionByName(met.select(*columns)).select(
@@ -128,17 +145,12 @@ def drop_exact(
     """
     norm = normalised(col(text))
     hashes = staged(df.select(F.xxhash64(norm).alias("h")), "hashes")
-    rows = hashes.count()
-    bitmaps, blocks = repeated_slots(hashes, "h", rows, bits_per_row)
-    bitmaps = staged(bitmaps, "bitmaps")
+    bitmaps, blocks = repeated_filter(hashes, "h", bits_per_row, broadcast_bytes)
     discard(hashes)
     names = df.columns
     sha, flag, row = "k_sha", fresh(df, "k_maybe"), "k_row"
-    if bitmaps.count() * (BITS // 8 + 64) <= broadcast_bytes:
-        flagged = maybe_repeated(df, F.xxhash64(norm), bitmaps, blocks, flag)
-        single, maybe = flagged.filter(~F.col(flag)).drop(flag), flagged.filter(F.col(flag)).drop(flag)
-    else:
-        single, maybe = df.limit(0), df
+    flagged = maybe_repeated(df, F.xxhash64(norm), bitmaps, blocks, flag)
+    single, maybe = flagged.filter(~F.col(flag)).drop(flag), flagged.filter(F.col(flag)).drop(flag)
     plain = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
     order = F.struct(col(key).isNull(), col(key), F.xxhash64(*map(col, plain)))
     first = (

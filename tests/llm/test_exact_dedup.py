@@ -41,9 +41,14 @@ def test_no_rows(nothing):
     assert exact_dedup.drop_exact(nothing).count() == 0
 
 
-def test_only_repeated_texts_are_grouped(spark):
-    df = spark.range(3000).selectExpr("id as doc_id", "concat('text ', id % 2900) as text")
+@pytest.mark.parametrize("limit", [64 << 20, 0])
+def test_only_repeated_texts_are_grouped(spark, limit):
+    df = spark.range(9000).selectExpr("id as doc_id", "concat('text ', if(id < 1000, 0, id % 8900)) as text")
     hashes = df.selectExpr("xxhash64(text) as h")
-    bitmaps, blocks = exact_dedup.repeated_slots(hashes, "h", 3000)
+    assert exact_dedup.repeated_slots(hashes, "h", exact_dedup.blocks_of(9000, 16)).count() > 1  # so the smaller limit takes the path of large filters
+    bitmaps, blocks = exact_dedup.repeated_filter(hashes, "h", 16, limit)
     flagged = exact_dedup.maybe_repeated(hashes, hashes.h, bitmaps, blocks, "maybe").filter("maybe").count()
-    assert 200 <= flagged < 400
+    assert 1000 <= flagged < 1400
+    rows = [(r.doc_id, r.text) for r in df.collect()]
+    assert sorted(map(tuple, exact_dedup.mark_exact(df, broadcast_bytes=limit).collect()), key=str) == expected(rows)
+    assert sorted(r.doc_id for r in exact_dedup.drop_exact(df, broadcast_bytes=limit).collect()) == sorted({k for d, k, *_ in expected(rows)})
