@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.store import col, discard, fresh, lookup, slices, staged
+from kindred.llm.store import arrow_rows, col, discard, fresh, lookup, slices, staged
 
 ROWS, BANDS = 5, 51
 BAND_BITS = 8  # 256 buckets for the bands
@@ -386,7 +386,8 @@ def near_duplicates(
     so ties and copies cost a row each; very long texts are hashed whole, and
     their sets are compared whole.
     """
-    sig = staged(signatures(df, text, key, width), "signatures")
+    with arrow_rows(df.sparkSession):
+        sig = staged(signatures(df, text, key, width), "signatures")
     classes = sig.filter("c is not null").groupBy("c").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"))
     classes = staged(classes, "classes")
     banded = classes.select("c", F.posexplode("bands").alias("band", "key"))
@@ -400,7 +401,8 @@ def near_duplicates(
     if nameless:
         picked = picked.unionByName(df.filter(col(key).isNull()).select(col(key).alias("id"), col(text).cast("string").alias("text")))
     made = full_sets(picked.select("text"), width).join(needed, "c", "left_semi")
-    sets = staged(made.groupBy("c").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles"), F.first("fine").alias("fine")), "sets")
+    with arrow_rows(df.sparkSession):
+        sets = staged(made.groupBy("c").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles"), F.first("fine").alias("fine")), "sets")
 
     first = staged(confirmed(stars(shared, _ORDERS[0]), sets, percent), "links")
     comp = staged(components(first), "components")

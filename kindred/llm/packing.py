@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kindred.llm.store import col, staged
+from kindred.llm.store import arrow_rows, col, staged
 
 #: The split of texts that the byte-level vocabulary was made with (its ByteLevel pre-tokenizer).
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -131,15 +131,19 @@ def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray
 
 
 def assign(pieces: DataFrame, capacity: int, group_rows: int) -> DataFrame:
-    """``pieces`` (staged: id, start, length, ...) with ``sequence_id`` and ``offset``.
+    """``pieces`` (staged: id, start, length, doc_tokens, piece, draw, ...) with ``sequence_id`` and ``offset``.
 
     A group's bins get ids from ``group << 32`` on. Rows are dealt by a draw
     that is written down before, so a task that runs again sees the same group.
+    Only lengths go to the packing tasks: ids wait in their table and meet their
+    places by the piece's number.
     """
     rows = pieces.count()
     groups = max(1, round(rows / group_rows))
     width = (1 << 53) // groups + 1
-    dealt = pieces.withColumn("pack_group", F.floor(F.col("draw") / width).cast("bigint")).drop("draw")
+    heavy = "ids" in pieces.columns
+    thin = pieces.drop("ids") if heavy else pieces.drop("piece")
+    dealt = thin.withColumn("pack_group", F.floor(F.col("draw") / width).cast("bigint")).drop("draw")
     schema = T.StructType([*dealt.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
     def pack(table: pa.Table) -> pa.Table:
@@ -149,7 +153,10 @@ def assign(pieces: DataFrame, capacity: int, group_rows: int) -> DataFrame:
         base = table["pack_group"][0].as_py() << 32
         return table.append_column("sequence_id", pa.array(where + base)).append_column("offset", pa.array(offset))
 
-    return dealt.groupBy("pack_group").applyInArrow(pack, schema).drop("pack_group")
+    packed = dealt.groupBy("pack_group").applyInArrow(pack, schema).drop("pack_group")
+    if not heavy:
+        return packed
+    return pieces.drop("draw").join(packed.select("piece", "sequence_id", "offset"), "piece").drop("piece")
 
 
 def pack_documents(
@@ -172,12 +179,15 @@ def pack_documents(
     ``sequence_id`` and ``offset`` (from 0, without gaps).
 
     Null and empty texts are documents of the end id alone. Null keys and
-    repeated rows are packed like others. No rows give no rows. Other columns
-    are not read.
+    repeated rows are packed like others, equal lengths in order of document
+    length, start and key. A very long text is tokenized whole and cut. No rows
+    give no rows. Other columns are not read.
     """
     pieces = cut(df, text, key, capacity, end_id, path or vocabulary_file(), payload)
     # the draw: 53 bits from a seeded generator, as a whole number so that groups are even
-    pieces = staged(pieces.withColumn("draw", (F.rand(seed) * float(1 << 53)).cast("bigint")), "pieces")
+    pieces = pieces.withColumn("draw", (F.rand(seed) * float(1 << 53)).cast("bigint")).withColumn("piece", F.monotonically_increasing_id())
+    with arrow_rows(df.sparkSession):
+        pieces = staged(pieces, "pieces")
     packed = assign(pieces, capacity, group_rows)
     return packed.withColumnRenamed("id", key)
 

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kindred.llm.store import col, fresh, slices
+from kindred.llm.store import arrow_rows, col, fresh, slices
 
 PASSAGE = 1024  # bytes
 GRAMS = 512
@@ -270,14 +270,8 @@ def fit(
 
     kind = documents.schema[key].dataType.simpleString()
     rows = some.select("h", "id", "y", "text").mapInArrow(features, f"h bigint, id {kind}, part bigint, y int, x binary")
-    spark = documents.sparkSession
-    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(setting)
-    spark.conf.set(setting, "128")  # of 100 KB at most
-    try:
+    with arrow_rows(documents.sparkSession, 128):  # of 100 KB at most
         got = rows.repartition(1).sortWithinPartitions(F.xxhash64("id"), "id", "h", "part").mapInArrow(learn, "model binary").collect()
-    finally:
-        spark.conf.set(setting, before)
     return Model.load(got[0]["model"]) if got else None
 
 

@@ -98,6 +98,18 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, share: int = 2000) -> Da
     return rows.join(F.broadcast(hot), key).unionByName(rest)
 
 
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Smaller Arrow batches for what runs inside: whole texts are sent in them, and both ends hold one."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
 def slices(batch: pa.RecordBatch, column: int, size: int = 500_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Parts of a batch with about so many bytes of text, or one text, and their texts (null as empty)."""
     held = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False) + 64)])
