@@ -2,31 +2,84 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kindred.functions.hashing import Bands, steady_coefficients
 from kindred.operators import minhash, vocab
-from kindred.operators.cluster import cut
+from kindred.operators.brands import MISSING
+from kindred.operators.tables import cut
+
+
+def _expanded(pairs: DataFrame, members: DataFrame, key: str, *columns: str) -> DataFrame:
+    """(l, r, columns of both) of products, l < r, from distinct pairs (x, y) of keys, x < y."""
+    a, b = (members.select(F.col(key).alias(k), F.col("product_id").alias(f"p_{k}"), *[F.col(c).alias(f"{c}_{k}") for c in columns]) for k in ("x", "y"))
+    met = pairs.join(a, "x").join(b, "y")
+    return met.select(F.least("p_x", "p_y").alias("l"), F.greatest("p_x", "p_y").alias("r"), *[f"{c}_{k}" for c in columns for k in ("x", "y")])
+
 
+def _within(members: DataFrame, key: str, *columns: str) -> DataFrame:
+    """All pairs of products with one key."""
+    a, b = (members.select(F.col(key).alias("k"), F.col("product_id").alias(x), *[F.col(c).alias(f"{c}_{k}") for c in columns]) for x, k in (("l", "x"), ("r", "y")))
+    return a.join(b, "k").filter("l < r").drop("k")
 
-def candidates(banded: DataFrame) -> DataFrame:
-    """Distinct pairs (l, r), l < r, with equal keys in some band.
 
-    Keys that only one product has drop out before the join. How many pairs
-    there are is a property of the threshold: none is dropped, and adaptive
-    execution splits a large bucket.
+def _met(a: DataFrame, b: DataFrame, on: list[str], more: Column | None = None) -> DataFrame:
+    """Distinct (x, y), x < y, of rows (node, band, h, key) that agree in a band; hashes pick them, keys decide."""
+    left = a.select(*on, F.col("key").alias("key_x"), F.col("node").alias("p"))
+    right = b.select(*on, F.col("key").alias("key_y"), F.col("node").alias("q"))
+    met = left.join(right, on).filter((F.col("key_x") == F.col("key_y")) & (F.col("p") < F.col("q") if more is None else more))
+    return met.select(F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y")).distinct()
+
+
+@dataclass(frozen=True)
+class Blocks:
+    """Products by their sets of words.
+
+    Products with equal sets agree in every band, so sets (``class``, named by
+    their smallest product) meet each other in place of products, and pairs of
+    products come out of pairs of sets without being made twice.
     """
-    keyed = banded.select("product_id", "band", F.xxhash64("band", "key").alias("h"), "key")
-    common = keyed.groupBy("band", "h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "h")
-    kept = keyed.join(common, ["band", "h"], "left_semi")
-    a = kept.select("band", "h", "key", F.col("product_id").alias("l"))
-    b = kept.select("band", "h", F.col("key").alias("key_r"), F.col("product_id").alias("r"))
-    return a.join(b, ["band", "h"]).filter((F.col("key") == F.col("key_r")) & (F.col("l") < F.col("r"))).select("l", "r").distinct()
 
+    members: DataFrame  # (product_id, class), staged
+    banded: DataFrame  # (class, band, h, key), staged
+    shape: Bands
 
-def block(products: DataFrame, t: float, coefficients=steady_coefficients) -> tuple[DataFrame, Bands]:
-    """Candidate pairs of cleaned products at LSH threshold t, and the shape of the signatures.
+    def candidates(self) -> DataFrame:
+        """Distinct pairs (l, r), l < r, with equal keys in some band.
+
+        How many there are is a property of the threshold: none is dropped, and
+        adaptive execution splits a large bucket.
+        """
+        rows = self.banded.withColumnRenamed("class", "node")
+        across = _expanded(_met(rows, rows, ["band", "h"]), self.members, "class")
+        return across.unionByName(_within(self.members, "class")) if self.shape.b else across
+
+    def comparable(self, products: DataFrame) -> DataFrame:
+        """The candidates that no veto rules out: of different shops, with brands that agree or are not both known.
+
+        The vetoes act inside the joins: sets of one brand meet under the brand
+        as a part of the key, and only sets without a brand meet others. Pairs
+        that a veto rules out are never made.
+        """
+        named = self.members.join(products.select("product_id", "brand", "shop"), "product_id")
+        node = F.min("product_id").alias("node")
+        nodes = cut(named.groupBy("class", "brand").agg(node))
+        placed = cut(named.join(nodes, ["class", "brand"]).select("product_id", "node", "shop", "brand"))
+        rows = self.banded.join(nodes, "class")
+        same = _met(rows, rows, ["band", "h", "brand"])
+        free, known = rows.filter(F.col("brand") == MISSING), rows.filter(F.col("brand") != MISSING)
+        mixed = _met(free, known, ["band", "h"], F.lit(True))
+        found = _expanded(same.unionByName(mixed), placed, "node", "shop")
+        if self.shape.b:
+            found = found.unionByName(_within(placed, "node", "shop"))
+        return found.filter("shop_x <> shop_y").select("l", "r")
+
+
+def blocks(products: DataFrame, t: float, coefficients=steady_coefficients) -> Blocks:
+    """Cleaned products in bands at LSH threshold t.
 
     The vocabulary is of these products alone; its size is the one figure that
     is needed before the signatures can be planned. ``coefficients`` gives (a, b)
@@ -34,5 +87,15 @@ def block(products: DataFrame, t: float, coefficients=steady_coefficients) -> tu
     """
     words = cut(vocab.vocabulary(products))
     shape = Bands.of(words.count(), t)
-    signed = minhash.signatures(vocab.representation(products, words), shape, coefficients(shape.s))
-    return candidates(minhash.bands(cut(signed), shape)), shape
+    sets = cut(minhash.bit_sets(vocab.representation(products, words)))
+    classes = cut(sets.groupBy("idx").agg(F.min("product_id").alias("class")))
+    members = cut(sets.join(classes, "idx").select("product_id", "class"))
+    signed = minhash.sign(classes, shape, coefficients(shape.s), "class")
+    banded = minhash.bands(signed, shape, "class").select("class", "band", F.xxhash64("band", "key").alias("h"), "key")
+    return Blocks(members, cut(banded), shape)
+
+
+def block(products: DataFrame, t: float, coefficients=steady_coefficients) -> tuple[DataFrame, Bands]:
+    """Candidate pairs of cleaned products at LSH threshold t, and the shape of the signatures."""
+    made = blocks(products, t, coefficients)
+    return made.candidates(), made.shape

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from kindred.functions import text as T
 from kindred.functions.similarity import Parameters
 from kindred.operators import brands, experiment
@@ -162,7 +164,7 @@ _LAST: dict[str, str] = {
     "lsh_bands": f"SELECT product_id, band, key FROM banded WHERE t = {THRESHOLD}",
     "lsh_candidates": "SELECT l, r FROM cand",
     "qgram_sim": f"SELECT k, a, b, {_six('sim')} AS sim FROM ({_sim('SELECT x.k, x.v AS a, y.v AS b FROM (SELECT DISTINCT k, v FROM feats) x JOIN (SELECT DISTINCT k, v FROM feats) y ON x.k = y.k WHERE x.k <> ' + _quoted('Brand'))})",
-    "runs_lev": f"SELECT a, b, {_runs('a', '[0-9]')} = {_runs('b', '[0-9]')} AS same_digits, {_six(_runs_share('a', 'b'))} AS share FROM (SELECT x.word AS a, y.word AS b FROM (SELECT DISTINCT word FROM tw) x JOIN (SELECT DISTINCT word FROM tw) y ON substr(x.word, 1, 1) = substr(y.word, 1, 1))",
+    "runs_lev": f"SELECT a, b, {_runs('a', '[0-9]')} = {_runs('b', '[0-9]')} AS same_digits, {_six(_runs_share('a', 'b'))} AS share FROM (SELECT DISTINCT x AS a, y AS b FROM met)",
     "title_cosine": f"SELECT l, r, {_six('cosine')} AS cosine FROM titles",
     "avg_lev_sim": f"SELECT l, r, {_six('avg_lev')} AS avg_lev FROM titles",
     "title_veto": "SELECT l, r, veto FROM titles",
@@ -184,6 +186,24 @@ _LAST: dict[str, str] = {
 }
 
 
+#: Read several times, or at the seam of two large joins: worked out once, in this order.
+WRITTEN = ("prods", "bfeats", "vocab", "sig", "banded", "cand", "comp", "shown", "wordpairs", "keypairs", "entries", "dists")
+
+
+def _needed(sql: str) -> list[str]:
+    """The names of the chain that a query reads, directly or through others, in order."""
+    found, left = set(), [sql]
+    while left:
+        text = left.pop()
+        more = [n for n in CHAIN if n not in found and re.search(rf"\b{n}\b", text)]
+        found.update(more)
+        left += [CHAIN[n] for n in more]
+    return [n for n in CHAIN if n in found]
+
+
 def oracle_sql() -> dict[str, str]:
-    chain = "WITH RECURSIVE " + ",\n".join(f"{name} AS ({sql})" for name, sql in CHAIN.items())
-    return {name: f"{chain}\n{last}" for name, last in _LAST.items()}
+    out = {}
+    for name, last in _LAST.items():
+        chain = ",\n".join(f"{n} AS {'MATERIALIZED ' if n in WRITTEN else ''}({CHAIN[n]})" for n in _needed(last))
+        out[name] = f"WITH RECURSIVE {chain}\n{last}"
+    return out

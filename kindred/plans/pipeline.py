@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from kindred.functions import text as T
 from kindred.functions.hashing import steady_coefficients
 from kindred.functions.similarity import Parameters
-from kindred.operators import brands, cluster, experiment
+from kindred.operators import blocking, brands, cluster, scoring
+from kindred.operators.tables import cut
 
 
 def prepared(products: DataFrame) -> DataFrame:
@@ -18,11 +19,11 @@ def prepared(products: DataFrame) -> DataFrame:
     times over, and would clean them anew each time.
     """
     cleaned = products.withColumn("title", T.clean_title(F.coalesce("title", F.lit(""))))
-    return cluster.cut(brands.impute_brand(cluster.cut(brands.with_brand(cleaned))))
+    return cut(brands.impute_brand(cut(brands.with_brand(cleaned))))
 
 
 def resolve(products: DataFrame, t: float = 0.5, p: Parameters = Parameters(), coefficients=steady_coefficients) -> DataFrame:
     """(product_id, cluster_id) of every product."""
     ready = prepared(products)
-    _, scored = experiment.scored(ready, t, p, coefficients)
-    return cluster.clusters(ready, scored, p.epsilon)
+    pairs = cut(blocking.blocks(ready, t, coefficients).comparable(ready))
+    return cluster.clusters(ready, cut(scoring.distances(pairs, ready, p)), p.epsilon)

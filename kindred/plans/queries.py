@@ -13,6 +13,7 @@ from kindred.functions import text as T
 from kindred.functions.hashing import Bands, steady_coefficients
 from kindred.functions.similarity import Parameters
 from kindred.operators import blocking, brands, cluster, evaluate, experiment, minhash, scoring, vocab
+from kindred.operators.tables import cut
 from kindred.plans import pipeline
 from kindred.sources import offers
 
@@ -40,13 +41,13 @@ def _candidates(spark: SparkSession, sf_dir: str, t: float = THRESHOLD) -> tuple
 
 
 def _comparable(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    ready, found = _candidates(spark, sf_dir)
-    return ready, brands.comparable(found, ready)
+    ready = _prepared(spark, sf_dir)
+    return ready, blocking.blocks(ready, THRESHOLD).comparable(ready)
 
 
 def _distances(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     ready, pairs = _comparable(spark, sf_dir)
-    return ready, scoring.distances(cluster.cut(pairs), ready, P)
+    return ready, scoring.distances(cut(pairs), ready, P)
 
 
 def src_products(spark, sf_dir):
@@ -110,7 +111,7 @@ def band_params(spark, sf_dir):
 
 
 def _shape(ready: DataFrame) -> tuple[DataFrame, Bands]:
-    words = cluster.cut(vocab.vocabulary(ready))
+    words = cut(vocab.vocabulary(ready))
     return words, Bands.of(words.count(), THRESHOLD)
 
 
@@ -122,7 +123,7 @@ def hash_family(spark, sf_dir):
 def _signed(spark, sf_dir) -> tuple[DataFrame, Bands]:
     ready = _prepared(spark, sf_dir)
     words, shape = _shape(ready)
-    return cluster.cut(minhash.signatures(vocab.representation(ready, words), shape, steady_coefficients(shape.s))), shape
+    return cut(minhash.signatures(vocab.representation(ready, words), shape, steady_coefficients(shape.s))), shape
 
 
 def minhash_signature(spark, sf_dir):
@@ -130,8 +131,8 @@ def minhash_signature(spark, sf_dir):
 
 
 def lsh_bands(spark, sf_dir):
-    cut = minhash.bands(*_signed(spark, sf_dir))
-    return cut.select("product_id", F.col("band").cast("bigint").alias("band"), F.array_join(F.transform("key", lambda v: v.cast("string")), "-").alias("key"))
+    banded = minhash.bands(*_signed(spark, sf_dir))
+    return banded.select("product_id", F.col("band").cast("bigint").alias("band"), F.array_join(F.transform("key", lambda v: v.cast("string")), "-").alias("key"))
 
 
 def lsh_candidates(spark, sf_dir):
@@ -153,10 +154,12 @@ def _title(column: str, value) -> Query:
 
 
 def runs_lev(spark, sf_dir):
-    words = vocab.title_words(_cleaned(spark, sf_dir)).select("word").distinct()
-    met = words.withColumnRenamed("word", "a").join(words.withColumnRenamed("word", "b"), F.substring("a", 1, 1) == F.substring("b", 1, 1))
-    a, b = F.col("a"), F.col("b")
-    return met.select("a", "b", (T.digit_runs(a) == T.digit_runs(b)).alias("same_digits"), six(S.runs_share(T.other_runs(a), T.other_runs(b))).alias("share"))
+    """Of all pairs of model words that meet in the titles of a comparable pair."""
+    ready, pairs = _comparable(spark, sf_dir)
+    met = scoring.paired(pairs, scoring.with_words(ready), "words").select("words_r", F.explode("words_l").alias("a"))
+    met = met.select("a", F.explode("words_r").alias("b")).select("a.w", "a.digits", "a.letters", F.col("b.w").alias("b"), F.col("b.digits").alias("digits_b"), F.col("b.letters").alias("letters_b")).distinct()
+    share = S.runs_share(F.col("letters"), F.col("letters_b"))
+    return met.select(F.col("w").alias("a"), "b", (F.col("digits") == F.col("digits_b")).alias("same_digits"), six(share).alias("share"))
 
 
 def key_matches(spark, sf_dir):
@@ -225,7 +228,7 @@ def _metrics(spark, sf_dir) -> DataFrame:
     """Blocking quality of the products outside the bag, for some thresholds and runs and without tuning, so that SQL can follow."""
     ready, rows = _prepared(spark, sf_dir), []
     for t in SWEPT:
-        found = cluster.cut(blocking.block(ready, t)[0])
+        found = cut(blocking.block(ready, t)[0])
         for run in RUNS:
             out = ready.join(experiment.bootstrap(ready, run).filter("not in_bag"), "product_id", "left_semi")
             ids = out.select("product_id")
@@ -254,7 +257,7 @@ def sweep_curve(spark, sf_dir):
 def tune_epsilon(spark, sf_dir):
     """Over pairs below each cut, without clustering them, so that SQL can follow."""
     ready, d = _distances(spark, sf_dir)
-    d = cluster.cut(d)
+    d = cut(d)
     rows = [evaluate.confusion(d.filter(F.col("dist") < e).select("l", "r"), ready).withColumn("epsilon", F.lit(e)) for e in experiment.EPSILONS]
     return _rounded(experiment.tuned(reduce(DataFrame.unionByName, rows)), "f1")
 
@@ -262,7 +265,7 @@ def tune_epsilon(spark, sf_dir):
 def tune_clusters(spark, sf_dir):
     """The tuning itself: clusters at each cut."""
     ready, d = _distances(spark, sf_dir)
-    return _rounded(experiment.by_epsilon(ready, cluster.cut(d)), "precision", "recall", "f1")
+    return _rounded(experiment.by_epsilon(ready, cut(d)), "precision", "recall", "f1")
 
 
 def queries() -> dict[str, Query]:

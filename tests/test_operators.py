@@ -4,8 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from kindred.functions.hashing import steady_coefficients
 from kindred.functions.similarity import Parameters
-from kindred.operators import blocking, brands, cluster, evaluate, experiment, scoring, vocab
+from kindred.operators import blocking, brands, cluster, evaluate, experiment, minhash, scoring, vocab
 from kindred.plans import pipeline, queries
 from kindred.sources import offers, products
 
@@ -201,3 +202,35 @@ def test_sweeps_hold_all_thresholds_runs_and_metrics(spark, monkeypatch):
     made.clear()
     curve = queries.queries()["sweep_curve"](spark, SF).collect()
     assert {(r.t, r.metric) for r in curve} == {(t, m) for t in experiment.THRESHOLDS for m in experiment.METRICS if m != "fraction"}
+
+
+def test_blocks_agree_with_plain_candidates(spark):
+    """Pairs by classes of equal words, and with the vetoes in the joins, against bands compared product by product."""
+    ready = pipeline.prepared(offers.products(spark, SF).filter("product_id < 400"))
+    ready = ready.withColumn("brand", F.when(F.col("product_id") % 7 == 0, brands.MISSING).otherwise(F.col("brand")))
+    made = blocking.blocks(ready, 0.5)
+    words = vocab.vocabulary(ready)
+    signed = minhash.signatures(vocab.representation(ready, words), made.shape, steady_coefficients(made.shape.s))
+    buckets = {}
+    for r in minhash.bands(signed, made.shape).collect():
+        buckets.setdefault((r.band, tuple(r.key)), []).append(r.product_id)
+    want = {(a, b) for ids in buckets.values() for a in ids for b in ids if a < b}
+    got = [tuple(r) for r in made.candidates().collect()]
+    assert want and len(got) == len(want) and set(got) == want
+    rows = {r.product_id: r for r in ready.collect()}
+    fits = lambda a, b: rows[a].shop != rows[b].shop and (rows[a].brand == rows[b].brand or brands.MISSING in (rows[a].brand, rows[b].brand))
+    left = [tuple(r) for r in made.comparable(ready).collect()]
+    assert len(left) == len(set(left)) and set(left) == {q for q in want if fits(*q)}
+
+
+def test_linkage_of_pairs_agrees_with_the_whole_matrix():
+    rng = np.random.default_rng(5)
+    for n in (2, 5, 12, 30):
+        d = np.full((n, n), cluster.FAR)
+        pairs = [(i, j) for j in range(n) for i in range(j) if rng.random() < 0.7]
+        for i, j in pairs:
+            d[i, j] = d[j, i] = rng.random()
+        got = cluster.average_linkage(np.array([i for i, _ in pairs], int), np.array([j for _, j in pairs], int), np.array([d[q] for q in pairs]), 0.522)
+        assert {i: got.get(i, i) for i in range(n)} == linkage(d, 0.522)
+    twins = cluster.average_linkage(np.array([0, 0, 1, 2]), np.array([1, 2, 2, 3]), np.array([0.1, 0.1, 0.1, 0.5]), 0.522)
+    assert twins == {0: 0, 1: 0, 2: 0, 3: 3}

@@ -68,3 +68,10 @@ def test_title_sim(spark):
 def test_avg_lev_is_symmetric_and_bounded(spark, a, b):
     r = frame(spark, a, b).select(S.avg_lev_sim(F.col("a"), F.col("b")).alias("s"), S.avg_lev_sim(F.col("b"), F.col("a")).alias("t")).first()
     assert r.s == pytest.approx(r.t) and 0 <= r.s <= 1
+
+
+def test_runs_of_long_words(spark):
+    a = [f"r{i}" for i in range(200)]
+    b = [*a[:150], "other", *a[151:]]
+    got = frame(spark, a, b).select(S.runs_share(F.col("a"), F.col("b")).alias("s"), S.runs_share(F.col("a"), F.slice("b", 1, 199)).alias("t"), S.alike_letters(F.col("a"), F.col("b"), 0.3).alias("like")).first()
+    assert (got.s, got.t, got.like) == (pytest.approx(1 / 200), pytest.approx(2 / 200), True)
