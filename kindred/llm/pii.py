@@ -101,21 +101,40 @@ def _matches(text: Column, pattern: str, needs: str) -> Column:
     return F.when(text.rlike(needs), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none)
 
 
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _running(items: Column, start: Column, step, kind: str, block: int = 256) -> Column:
+    """The state before each item, where ``step`` makes the next state of a state and an item.
+
+    Arrays grow by being copied, so states are gathered in blocks and blocks in
+    an outer array: work grows with the items times a block, and with the
+    square of the number of blocks.
+    """
+
+    def within(at: Column, part: Column) -> Column:
+        first = F.struct(at.alias("at"), F.array().cast(f"array<{kind}>").alias("seen"))
+        return F.aggregate(part, first, lambda acc, x: F.struct(step(acc["at"], x).alias("at"), F.concat(acc["seen"], F.array(acc["at"])).alias("seen")))
+
+    blocks = F.transform(F.sequence(F.lit(0), F.size(items) - 1, F.lit(block)), lambda i: F.slice(items, i + 1, F.lit(block)))
+    first = F.struct(start.alias("at"), F.array().cast(f"array<array<{kind}>>").alias("seen"))
+    joined = lambda acc, part: _let(within(acc["at"], part), lambda r: F.struct(r["at"].alias("at"), F.concat(acc["seen"], F.array(r["seen"])).alias("seen")))
+    return F.flatten(F.aggregate(blocks, first, joined, lambda acc: acc["seen"]))
+
+
 def _placed(text: Column, matches: Column, pattern: str, kind: int) -> Column:
     """(kind, s, e, m) of each match, in code points: what split leaves between the matches gives their places."""
-    between = F.split(text, pattern, -1)
+    between = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(matches))
+    steps = F.zip_with(between, matches, lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("n"), m.alias("m")))
 
-    def step(acc: Column, i: Column) -> Column:
-        s = acc["at"] + F.length(F.get(acc["parts"], i))
-        m = F.get(matches, i)
-        e = s + F.length(m)
-        one = F.struct(F.lit(kind).alias("kind"), s.alias("s"), e.alias("e"), m.alias("m"))
-        return F.struct(e.alias("at"), acc["parts"].alias("parts"), F.concat(acc["found"], F.array(one)).alias("found"))
+    def found(steps: Column) -> Column:
+        ends = _running(steps, F.lit(0), lambda at, x: at + x["gap"] + x["n"], "int")
+        return F.zip_with(steps, ends, lambda x, at: F.struct(F.lit(kind).alias("kind"), (at + x["gap"]).alias("s"), (at + x["gap"] + x["n"]).alias("e"), x["m"].alias("m")))
 
     none = F.array().cast("array<struct<kind:int,s:int,e:int,m:string>>")
-    start = F.struct(F.lit(0).alias("at"), between.alias("parts"), none.alias("found"))
-    found = F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), start, step, lambda acc: acc["found"])
-    return F.when(F.size(matches) > 0, found).otherwise(none)
+    return F.when(F.size(matches) > 0, _let(steps, found)).otherwise(none)
 
 
 def _features(text: Column, kind: int, c: Column) -> list[Column]:
@@ -146,9 +165,8 @@ def _features(text: Column, kind: int, c: Column) -> list[Column]:
     ]
 
 
-def _proposals(text: Column, kind: int, matches: Column) -> Column:
-    """Array of (kind, s, e, code) for a kind's loose matches; code packs the features as bits."""
-    placed = _placed(text, matches, LOOSE[KINDS[kind]], kind)
+def _coded(text: Column, kind: int, placed: Column) -> Column:
+    """Array of (kind, s, e, code) for a kind's placed proposals; code packs the features as bits."""
 
     def code(c: Column) -> Column:
         bits = [F.when(f, F.lit(1 << i)).otherwise(F.lit(0)) for i, f in enumerate(_features(text, kind, c))]
@@ -157,6 +175,25 @@ def _proposals(text: Column, kind: int, matches: Column) -> Column:
     return F.transform(placed, code)
 
 
+def _proposals(text: Column, kind: int, matches: Column) -> Column:
+    """Array of (kind, s, e, code) for a kind's loose matches."""
+    return _coded(text, kind, _placed(text, matches, LOOSE[KINDS[kind]], kind))
+
+
+def _packed(c: Column) -> Column:
+    """A span as one number, so that sets of spans meet by hash."""
+    return F.shiftleft(c["s"].cast("bigint"), 31) + c["e"]
+
+
+def _beside(text: Column, kind: int, matches: Column, base: Column) -> Column:
+    """(kind, s, e, m) of the loose matches that overlap no base span."""
+    placed = F.transform(_placed(text, matches, LOOSE[KINDS[kind]], kind), _packed)
+    # most loose matches are base spans: those go by hash, the rest are compared
+    fresh = F.transform(F.array_except(placed, F.transform(base, _packed)), lambda x: F.struct(F.shiftright(x, 31).cast("int").alias("s"), x.bitwiseAND((1 << 31) - 1).cast("int").alias("e")))
+    clear = F.filter(fresh, lambda c: _clear(c, base))
+    return F.transform(clear, lambda c: F.struct(F.lit(kind).alias("kind"), c["s"].alias("s"), c["e"].alias("e"), F.substring(text, c["s"] + 1, c["e"] - c["s"]).alias("m")))
+
+
 # ---- training -------------------------------------------------------------
 
 
@@ -313,8 +350,11 @@ def find_spans(
 
     ``kind`` indexes KINDS; ``s`` and ``e`` are code points, end exclusive;
     order is by kind, then start. Base spans of different kinds may overlap;
-    added ones overlap no other span. A null text has no spans. Columns of
-    ``df`` with the result's names are replaced.
+    added ones overlap no other span. A null text has no spans, an empty table
+    gives one, and repeated rows are treated alike. Texts are read whole; a very
+    long one's matches are placed in blocks, and only proposals that are no base
+    span are compared with those one by one. Columns of ``df`` with the result's
+    names are replaced.
     """
     trees, cuts = _trained(df.sparkSession, examples, seed, precision)
     names = [c for c in df.columns if c not in (base, spans)]
@@ -328,10 +368,16 @@ def find_spans(
 
     row = row.select("row", "t", *[f"p{i}" for i in range(4)], F.concat(*map(strict, range(4))).alias("base"))
 
+    def beside(i: int) -> Column:
+        none = F.array().cast("array<struct<kind:int,s:int,e:int,m:string>>")
+        return F.when(F.size(f"p{i}") > 0, _beside(t, i, F.col(f"p{i}"), F.col("base"))).otherwise(none)
+
+    row = row.select("row", "t", "base", *[beside(i).alias(f"c{i}") for i in range(4)])
+
     def added(i: int) -> Column:
-        chosen = F.filter(_proposals(t, i, F.col(f"p{i}")), lambda c: (_score(trees, i, c["code"]) >= F.lit(cuts[i])) & _clear(c, F.col("base")))
+        chosen = F.filter(_coded(t, i, F.col(f"c{i}")), lambda c: _score(trees, i, c["code"]) >= F.lit(cuts[i]))
         plain = F.transform(chosen, lambda c: F.struct(c["kind"].alias("kind"), c["s"].alias("s"), c["e"].alias("e")))
-        return F.when(F.size(F.col(f"p{i}")) > 0, plain).otherwise(F.array().cast(SPAN)) if math.isfinite(cuts[i]) else F.array().cast(SPAN)
+        return F.when(F.size(F.col(f"c{i}")) > 0, plain).otherwise(F.array().cast(SPAN)) if math.isfinite(cuts[i]) else F.array().cast(SPAN)
 
     row = row.select("row", "base", *[added(i).alias(f"a{i}") for i in range(4)])
     more = F.col("a0")
@@ -365,13 +411,17 @@ def redact(df: DataFrame, text: str = "text", **options) -> DataFrame:
     t = col(text)
     ordered = F.array_sort(F.transform(F.col(spans), lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"), c["kind"].alias("kind"))))
 
-    def join(acc: Column, c: Column) -> Column:
-        last = F.element_at(acc, -1)
-        meets = (F.size(acc) > 0) & (c["s"] < F.try_element_at(acc, F.lit(-1))["e"])
-        merged = F.struct(last["s"].alias("s"), F.greatest(last["e"], c["e"]).alias("e"), last["kind"].alias("kind"))
-        return F.when(meets, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(merged))).otherwise(F.concat(acc, F.array(c)))
+    def heads(ordered: Column) -> Column:
+        """The first span of each run of spans that overlap, with the end of all before it."""
+        ends = _running(ordered, F.lit(0), lambda at, c: F.greatest(at, c["e"]), "int")
+        marked = F.zip_with(ordered, ends, lambda c, at: F.struct(c["s"].alias("s"), at.alias("at"), c["kind"].alias("kind")))
+        return F.filter(marked, lambda c: c["s"] >= c["at"])
+
+    def ended(firsts: Column) -> Column:
+        nexts = F.concat(F.slice(F.transform(firsts, lambda c: c["at"]), F.lit(2), F.size(firsts)), F.array(F.array_max(F.transform(F.col(spans), lambda c: c["e"]))))
+        return F.zip_with(firsts, nexts, lambda c, e: F.struct(c["s"].alias("s"), e.alias("e"), c["kind"].alias("kind")))
 
-    apart = F.aggregate(ordered, F.array().cast("array<struct<s:int,e:int,kind:int>>"), join)
+    apart = _let(_let(ordered, heads), ended)
     tags = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     # each span with the text before it, then what is left
     parts = F.transform(

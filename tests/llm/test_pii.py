@@ -60,3 +60,16 @@ def test_boosting_separates_and_thresholds_hold():
     trees = pii.boost(rows)
     values = [sum(pii._value(t, r[0]) for t in trees) for r in rows]
     assert values[0] > values[2] > values[1]
+
+
+def test_more_matches_than_a_block(spark):
+    text = "é a@b.co, 1.2.3.4 and +1.2.3.4.5678 " * 600
+    df = spark.createDataFrame([(0, text)], "doc_id bigint, text string")
+    want = base(text)
+    assert pii.digests(df).first().spans == ",".join(f"{k}:{a}:{b}" for k, a, b in want)
+    out, end = [], 0
+    for s, e, kind in sorted((a, b, pii.KINDS.index(k)) for k, a, b in want):
+        if s >= end:
+            out += [text[end:s], f"[{pii.KINDS[kind].upper()}]"]
+        end = max(end, e)
+    assert pii.redact(df).first().text == "".join(out) + text[end:]
