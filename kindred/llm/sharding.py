@@ -4,7 +4,8 @@ Documents with equal texts are linked. Each document starts in a random shard;
 in every round a linked document looks where most of its neighbours are and
 moves there if that shard's quota has room. Links run through the text's hash
 (a star, not all pairs), and documents that share text, shard and salt move as
-one cell, so a text that a third of all rows have is 64 cells and no more.
+one cell; a text that many rows have is cut into more cells the more it has, so
+no cell holds more than about 1/128,000 of all rows, or 2,000 rows.
 
 Quotas leave a quarter beyond an even share, or full shards would hold up every
 move into them. At last the rows are ranked by shard, text and salt, and the
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 from kindred.llm.store import col, discard, staged
 
 SALTS = 64
+HOT = 2000  # fewer texts than this can have more than 1/HOT of all rows each
 
 
 def _unit(*parts: Column) -> Column:
@@ -79,7 +81,7 @@ def shard_documents(
     rows of a shard from 0 without gaps. ``size`` is the text's bytes in UTF-8
     plus 1; a null text has none, and is linked with empty texts. Null keys and
     repeated rows are sharded like others; rows that agree in key and text are
-    interchangeable. ``grown_shard`` belongs to another law and is null. No
+    interchangeable and share a cell, however many they are. ``grown_shard`` belongs to another law and is null. No
     rows give no rows. Other columns are not read.
     """
     body = F.coalesce(col(text), F.lit(""))
@@ -97,6 +99,12 @@ def shard_documents(
     total = base.count()
     start = F.pmod(F.xxhash64("g", "salt", F.lit(3)), F.lit(n_shards)).cast("int")
     cells = staged(base.groupBy("g", "salt").agg(F.count(F.lit(1)).alias("n")).withColumn("shard", start), "cells")
+    sums = cells.groupBy("g").agg(F.sum("n").alias("all"))
+    hot = staged(sums.filter((F.col("all") * HOT > total) & (F.col("all") > SALTS * bucket_rows)).select("g", (SALTS * F.ceil(F.col("all") * HOT / total)).alias("salts")), "hot")
+    if not hot.isEmpty():
+        more = F.coalesce(F.pmod(F.xxhash64("id", F.lit(7)), F.col("salts")).cast("int"), F.col("salt"))
+        base = base.join(F.broadcast(hot), "g", "left").select("id", "size", "crc", "g", more.alias("salt"))
+        cells = staged(base.groupBy("g", "salt").agg(F.count(F.lit(1)).alias("n")).withColumn("shard", start), "cells")
     linked = cells.groupBy("g").agg(F.sum("n").alias("all")).filter(F.col("all") > 1).select("g")
     at_first = {r["shard"]: r["n"] for r in cells.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
     moved = propagate(
@@ -105,9 +113,9 @@ def shard_documents(
     cells = cells.drop("shard").join(moved.select("g", "salt", F.col("shard").alias("to")), ["g", "salt"], "left").withColumn("shard", F.coalesce("to", start)).drop("to")
 
     # rank of a cell's first row: rows in earlier buckets, then in earlier cells of its own
-    buckets = max(1, min(512, -(-total // (bucket_rows * n_shards))))
+    buckets = max(1, min(8192, -(-total // (bucket_rows * n_shards))))
     cells = staged(cells.withColumn("bucket", F.pmod("g", F.lit(buckets)).cast("int")), "placed")
-    before = Window.orderBy("shard", "bucket").rowsBetween(Window.unboundedPreceding, -1)  # over shards x buckets: 4096 rows at most
+    before = Window.orderBy("shard", "bucket").rowsBetween(Window.unboundedPreceding, -1)  # over shards x buckets: 65,536 rows at most with 8 shards
     offsets = cells.groupBy("shard", "bucket").agg(F.sum("n").alias("n")).withColumn("from", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
     inside = Window.partitionBy("shard", "bucket").orderBy("g", "salt").rowsBetween(Window.unboundedPreceding, -1)
     first = cells.withColumn("ahead", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(F.broadcast(offsets), ["shard", "bucket"]).select("g", "salt", (F.col("from") + F.col("ahead")).alias("first"))

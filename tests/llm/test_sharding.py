@@ -33,3 +33,13 @@ def test_copies_stay_together_and_a_hot_text_is_spread(spark):
     split = sum(len(s) > 1 for s in shards.values())
     assert split <= 0.25 * len(shards)
     assert len(shards[zlib.crc32(b"hot")]) >= 3
+
+
+def test_a_hot_text_gets_more_cells(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "SALTS", 2)
+    df = spark.range(3000).selectExpr("id as doc_id", "case when id % 3 = 0 then 'hot' else concat('t', id div 6) end as text")
+    rows = sharding.shard_documents(df, bucket_rows=20).collect()
+    sizes = [sum(r.shard == s for r in rows) for s in range(8)]
+    assert len(rows) == 3000 and max(sizes) - min(sizes) <= 1
+    for s in range(8):
+        assert sorted(r.slot for r in rows if r.shard == s) == list(range(sizes[s]))
