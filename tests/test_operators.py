@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from kindred.functions.hashing import steady_coefficients
 from kindred.functions.similarity import Parameters
-from kindred.operators import blocking, brands, cluster, evaluate, experiment, minhash, scoring, vocab
+from kindred.operators import blocking, brands, cluster, evaluate, experiment, minhash, scoring, tables, vocab
 from kindred.plans import pipeline, queries
 from kindred.sources import offers, products
 
@@ -42,6 +42,21 @@ def test_brands(shop):
     assert ready[2].features["Brand"] == "lg"
 
 
+def test_substrings_are_never_broadcast(spark, monkeypatch):
+    """Plans take the size of a file for that of what is cut from its texts; the sides are measured, and either way gives the same rows."""
+    branded = tables.cut(brands.with_brand(offers.products(spark, SF)))
+    words = tables.cut(vocab.vocabulary(branded))
+    made = []
+    for sent in (tables.SENT, 0):
+        monkeypatch.setattr(tables, "SENT", sent)
+        made.append([])
+        for df in (brands.impute_brand(branded).select("product_id", "brand"), vocab.representation(branded, words), vocab.representation(branded, vocab.vocabulary(branded))):
+            plan = df._jdf.queryExecution().sparkPlan().toString()
+            assert "BuildLeft" not in plan and ("SortMergeJoin" in plan or sent)
+            made[-1].append(sorted(map(tuple, df.collect())))
+    assert made[0] == made[1] and all(made[0])
+
+
 def test_representation_is_by_substring(shop):
     ready = pipeline.prepared(shop)
     words = vocab.vocabulary(ready)
