@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from kindred.functions.hashing import steady_coefficients
 from kindred.functions.similarity import Parameters
-from kindred.operators import blocking, brands, cluster, evaluate, experiment, minhash, scoring, tables, vocab
+from kindred.operators import blocking, brands, cluster, evaluate, experiment, meeting, minhash, scoring, tables, vocab
 from kindred.plans import pipeline, queries
 from kindred.sources import offers, products
 
@@ -238,6 +238,45 @@ def test_blocks_agree_with_plain_candidates(spark):
     assert len(left) == len(set(left)) and set(left) == {q for q in want if fits(*q)}
 
 
+def test_pairs_are_made_once_in_blocks(spark, monkeypatch):
+    """Buckets cut into small blocks and classes into small nodes give the same pairs, each once, with no distinct over them and no side of a join broadcast."""
+    few = pipeline.prepared(offers.products(spark, SF).filter("product_id < 300"))
+    ready = few.withColumn("brand", F.when(F.col("product_id") % 7 == 0, brands.MISSING).otherwise(F.col("brand")))
+    copies = tables.cut(ready.withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(2)))).withColumn("product_id", F.col("product_id") + 1000 * F.col("n")).drop("n"))
+    made = []
+    for block, held in ((4096, 64), (16, 2)):
+        monkeypatch.setattr(meeting, "BLOCK", block)
+        monkeypatch.setattr(blocking, "HELD", held)
+        b = blocking.blocks(copies, 0.5)
+        every, fitting = b.candidates(), b.comparable(copies)
+        for df in (every, fitting):
+            plan = df._jdf.queryExecution().sparkPlan().toString()
+            assert "BuildLeft" not in plan and plan.count("BroadcastHashJoin") == plan.count("LeftOuter, BuildRight")  # blocks of large buckets alone
+        assert "Aggregate" not in every._jdf.queryExecution().sparkPlan().toString()
+        rows = [[tuple(r) for r in df.collect()] for df in (every, fitting)]
+        assert all(len(r) == len(set(r)) for r in rows)
+        assert tuple(b.comparable_hits(copies).first()) == tuple(evaluate.hits(fitting, copies).first())
+        made.append([set(r) for r in rows])
+    assert made[0] == made[1] and made[0][1] < made[0][0]
+
+
+def test_band_words_tell_bands_apart(spark):
+    """Bands of more digits than a word holds: words are equal just where the hashes of a band are."""
+    shape = minhash.Bands(900, 45, 1409, 15, 3)
+    rng = np.random.default_rng(1)
+    bits = [sorted({int(i) for i in rng.integers(1, 900, 3)}) for _ in range(60)]
+    rows = spark.createDataFrame([(i, b) for i, b in enumerate([*bits, *bits[:5]])], "product_id bigint, idx array<bigint>")
+    family = steady_coefficients(45)
+    assert minhash.word_width(shape) == (6, 3)
+    words = {r.product_id: r.words for r in minhash.band_words(rows, shape, family).collect()}
+    keys = {}
+    for r in minhash.bands(minhash.sign(rows, shape, family), shape).collect():
+        keys[r.product_id, r.band] = tuple(r.key)
+    for x in words:
+        for y in words:
+            assert [words[x][3 * b : 3 * b + 3] == words[y][3 * b : 3 * b + 3] for b in range(3)] == [keys[x, b] == keys[y, b] for b in range(3)]
+
+
 def test_linkage_of_pairs_agrees_with_the_whole_matrix():
     rng = np.random.default_rng(5)
     for n in (2, 5, 12, 30):
