@@ -260,6 +260,29 @@ def test_pairs_are_made_once_in_blocks(spark, monkeypatch):
     assert made[0] == made[1] and made[0][1] < made[0][0]
 
 
+def test_candidates_are_counted_without_a_list(spark, monkeypatch):
+    """Counts by classes and models against the listed pairs, for two sets of products and all, some without a model; and of clusters."""
+    ready = pipeline.prepared(offers.products(spark, SF).filter("product_id < 200"))
+    copies = ready.withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(2)))).withColumn("product_id", F.col("product_id") + 1000 * F.col("n")).drop("n")
+    copies = tables.cut(copies.withColumn("model_id", F.when(F.col("product_id") % 11 > 0, F.concat("model_id", F.lit("x")))))
+    made = blocking.blocks(copies, 0.5)
+    monkeypatch.setattr(evaluate, "hits", None)  # no pair is listed to be counted
+    weights = F.array((F.col("product_id") % 3 > 0).cast("bigint"), (F.col("product_id") % 2).cast("bigint"))
+    got = {r.run: (r.pairs, r.found) for r in made.hits(copies.select("product_id", "model_id", weights.alias("weights"))).collect()}
+    every = tuple(made.all_hits(copies).first())
+    model = {r.product_id: r.model_id for r in copies.collect()}
+    pairs = [tuple(r) for r in made.candidates().collect()]
+
+    def count(fits):
+        inside = [q for q in pairs if all(map(fits, q))]
+        return len(inside), sum(model[l] is not None and model[l] == model[r] for l, r in inside)
+
+    assert got == {0: count(lambda i: i % 3 > 0), 1: count(lambda i: i % 2 == 1)} and every == count(lambda i: True) and all(every)
+    grouped = copies.select("product_id", (F.col("product_id") % 23).alias("cluster_id"))
+    both = [(l, r) for l in model for r in model if l < r and l % 23 == r % 23]
+    assert tuple(evaluate.cluster_hits(grouped, copies).first()) == (len(both), sum(model[l] is not None and model[l] == model[r] for l, r in both))
+
+
 def test_band_words_tell_bands_apart(spark):
     """Bands of more digits than a word holds: words are equal just where the hashes of a band are."""
     shape = minhash.Bands(900, 45, 1409, 15, 3)
