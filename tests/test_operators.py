@@ -127,6 +127,23 @@ def test_scores_against_plain_python(spark):
         assert r.dist == pytest.approx(distance(rows[r.l], rows[r.r])), (r.l, r.r)
 
 
+def test_titles_are_scored_once_and_never_broadcast(spark):
+    """Products of one title share its scores, null titles too, and no side of a pair is broadcast."""
+    ready = pipeline.prepared(offers.products(spark, SF).filter("product_id < 24"))
+    copies = ready.withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(2)))).withColumn("product_id", F.col("product_id") + 1000 * F.col("n")).drop("n")
+    copies = tables.cut(copies)
+    ids = copies.select("product_id")
+    pairs = tables.cut(ids.select(F.col("product_id").alias("l")).join(ids.select(F.col("product_id").alias("r")), F.col("l") < F.col("r")))
+    seen = []
+    got = scoring.by_titles(pairs, copies, lambda once: seen.append(once.count()) or scoring._title_scores(once, copies, Parameters()))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, scoring._title_scores(pairs, copies, Parameters()).collect()))
+    assert 0 < seen[0] <= 24 * 24 < pairs.count()
+    for df in (got, scoring.title_sims(pairs, copies), scoring.paired(pairs, copies, "features")):
+        assert "Broadcast" not in df._jdf.queryExecution().sparkPlan().toString()
+    none = copies.withColumn("title", F.lit(None).cast("string"))
+    assert scoring.by_titles(pairs, none, lambda once: once.withColumn("x", F.lit(1))).count() == pairs.count()
+
+
 def linkage(d, epsilon):
     groups = [[i] for i in range(len(d))]
     while len(groups) > 1:
