@@ -328,3 +328,53 @@ def test_linkage_of_pairs_agrees_with_the_whole_matrix():
         assert {i: got.get(i, i) for i in range(n)} == linkage(d, 0.522)
     twins = cluster.average_linkage(np.array([0, 0, 1, 2]), np.array([1, 2, 2, 3]), np.array([0.1, 0.1, 0.1, 0.5]), 0.522)
     assert twins == {0: 0, 1: 0, 2: 0, 3: 3}
+
+
+def test_distances_meet_texts_by_blocks(spark, monkeypatch):
+    """No join by the pair, and the same distances in one unit as in many, at a glance or by sorting; values may be missing."""
+    from kindred.operators import pairwise
+
+    cases = [(f"acer {n}inch mx{n % 3} aéb{n}c", {"Size": f"{n % 4}inch", "Sizes": "4  inch", "Weight": None if n % 5 == 0 else f"{n}.5kg x1 x1"}) for n in range(24)]
+    cases += [("", {}), ("1a 2b " + " ".join(f"w{k}x" for k in range(40)), {"Note": " ".join(f"k{k}" for k in range(60)), "Notes": "k1 k2"}), ("1a", {"Note": "k3 k4 k5"})]
+    products = spark.createDataFrame([(n, *c) for n, c in enumerate(cases)], "product_id bigint, title string, features map<string, string>")
+    ids = products.select(F.col("product_id").alias("l"))
+    pairs = ids.crossJoin(ids.withColumnRenamed("l", "r")).filter("l < r")
+    made = scoring.distances(pairs.select("l", "r"), products)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan.split("Union")[0]
+    want = {(r.l, r.r): r.dist for r in made.collect()}
+    assert len(want) == len(cases) * (len(cases) - 1) // 2
+    titles = {(r.l, r.r): r for r in scoring.title_sims(pairs, products).collect()}
+    for r in scoring.feature_scores(pairs, products.withColumn("features", F.map_filter("features", lambda _, v: v.isNotNull()))).collect():
+        t, k = titles[r.l, r.r].title_sim, max(min(len(cases[r.l][1]), len(cases[r.r][1])), 1)
+        share, p = r.m / k, Parameters()
+        first = (1 - p.mu) * share
+        mixed = first * r.feature_sim + (1 - p.mu - first) * r.mw_perc + p.mu * t
+        assert want[r.l, r.r] == pytest.approx(1 - (share * r.feature_sim + (1 - share) * r.mw_perc if t == -1 else mixed), abs=1e-12), (r.l, r.r)
+    for name, value in (("BLOCK", 4), ("LEAST", 1), ("WIDE", 2), ("CHUNK", 7), ("TASKS", 3)):
+        monkeypatch.setattr(pairwise, name, value)
+    code = pairwise._scored(Parameters())  # the patched module does not reach the workers, so units are made here
+
+    def unit(rows):
+        import pyarrow as pa
+
+        return code(iter([pa.Table.from_pylist([r.asDict() for r in rows], schema=pa.schema([("unit", pa.int32()), ("l", pa.int64()), ("r", pa.int64()), ("record", pa.list_(pa.list_(pa.string())))])).to_batches()[0]]))
+
+    got = {}
+    rows = pairwise._dealt(pairs, products).collect()
+    assert len({r.unit for r in rows}) > 6
+    for batch in unit(rows):
+        got |= {(r["l"], r["r"]): r["dist"] for r in batch.to_pylist()}
+    assert got == want
+
+
+def test_edges_are_thinned_to_a_forest(spark, monkeypatch):
+    """Each task keeps fewer edges than it has nodes, and components stay the same."""
+    rng = np.random.default_rng(3)
+    edges = {tuple(sorted(int(x) for x in 50 * g + rng.integers(0, 50, 2))) for g in range(4) for _ in range(400)}
+    frame = spark.createDataFrame([e for e in edges if e[0] < e[1]], "l bigint, r bigint").coalesce(1)
+    kept = cluster.forest(frame)
+    assert kept.count() == 4 * 49
+    assert {tuple(r) for r in cluster.components(frame).collect()} == {(50 * g + n, 50 * g) for g in range(4) for n in range(50)}
+    path = np.random.default_rng(4).permutation(500)
+    assert {(int(a), int(b)) for a, b in zip(*cluster.stars(path[:-1], path[1:]))} == {(n, 0) for n in range(1, 500)}
