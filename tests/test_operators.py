@@ -378,3 +378,31 @@ def test_edges_are_thinned_to_a_forest(spark, monkeypatch):
     assert {tuple(r) for r in cluster.components(frame).collect()} == {(50 * g + n, 50 * g) for g in range(4) for n in range(50)}
     path = np.random.default_rng(4).permutation(500)
     assert {(int(a), int(b)) for a, b in zip(*cluster.stars(path[:-1], path[1:]))} == {(n, 0) for n in range(1, 500)}
+
+
+def test_linkage_takes_little_room_and_breaks_ties_by_members(spark):
+    """A component is held as arrays, and equal distances, pairs to other components and several batches change nothing."""
+    import tracemalloc
+
+    rng = np.random.default_rng(6)
+    for n in (8, 20, 33):
+        d = np.full((n, n), cluster.FAR)
+        pairs = [(i, j) for j in range(n) for i in range(j) if rng.random() < 0.9]
+        for i, j in pairs:
+            d[i, j] = d[j, i] = rng.choice([0.0, 0.25, 0.5, 0.75])
+        got = cluster.average_linkage(np.array([i for i, _ in pairs]), np.array([j for _, j in pairs]), np.array([d[q] for q in pairs]), 0.522)
+        assert {i: got.get(i, i) for i in range(n)} == linkage(d, 0.522)
+        held = cluster._Component(0.522)
+        for k in range(0, len(pairs), 7):
+            part = sorted(pairs)[k : k + 7]
+            held.add(np.array([10 * i for i, _ in part] + [10 * part[-1][0]]), np.array([10 * j for _, j in part] + [9999]), np.array([d[q] for q in part] + [0.6]))
+        found = {int(i): int(c) for i, c in zip(*held.solved())}
+        assert 9999 not in found
+        assert {i: found.get(10 * i, 10 * i) for i in got} == {i: 10 * c for i, c in got.items()}
+    l, r = np.triu_indices(600, 1)
+    dist = rng.random(len(l)) * 0.5 + 0.4
+    tracemalloc.start()
+    cluster.average_linkage(l, r, dist, 0.522)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 80 * len(l)
