@@ -406,3 +406,23 @@ def test_linkage_takes_little_room_and_breaks_ties_by_members(spark):
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert most < 80 * len(l)
+
+
+def test_parts_of_scores_are_made_in_units_too(spark):
+    """Scores of titles and of features meet no text by the pair, and are those of the column expressions."""
+    ready = pipeline.prepared(offers.products(spark, SF).filter("product_id < 60"))
+    odd = spark.createDataFrame([(900, "", {}), (901, "5x 6x7 " + " ".join(f"w{k}x" for k in range(30)), {"Item Weight": "5.5lbs", "Item Weights": "6x 7x", "Note": "8x"}), (902, "5x 6x8", {"Note": "8x 9x"})], "product_id bigint, title string, features map<string, string>")
+    products = tables.cut(ready.select("product_id", "title", "features").unionByName(odd))
+    ids = products.select(F.col("product_id").alias("l"))
+    pairs = tables.cut(ids.crossJoin(ids.withColumnRenamed("l", "r")).filter("l < r"))
+    p = Parameters()
+    for made, plain in (
+        (scoring.title_scores(pairs, products, p), scoring._title_scores(pairs, products, p)),
+        (scoring.title_sims(pairs, products, p), scoring._title_scores(pairs, products, p).select("l", "r", "title_sim")),
+        (scoring.feature_scores(pairs, products, p), scoring._feature_scores(pairs, products, p)),
+    ):
+        assert "Join" not in made._jdf.queryExecution().executedPlan().toString() and made.columns == plain.columns
+        got, want = ({(r.l, r.r): tuple(r)[2:] for r in df.collect()} for df in (made, plain))
+        assert len(got) == 63 * 62 // 2 and got.keys() == want.keys()
+        for q, x in got.items():
+            assert x == pytest.approx(want[q], abs=1e-12), q
