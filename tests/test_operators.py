@@ -426,3 +426,35 @@ def test_parts_of_scores_are_made_in_units_too(spark):
         assert len(got) == 63 * 62 // 2 and got.keys() == want.keys()
         for q, x in got.items():
             assert x == pytest.approx(want[q], abs=1e-12), q
+
+
+def test_agreement_by_bits_counts_every_pair_once(monkeypatch):
+    """Weighted counts of rows and columns that agree in some band, by bits, against all pairs; buckets are marked one by one or as a whole."""
+    from kindred.operators import tally
+
+    rng = np.random.default_rng(8)
+    for few, step, rows in ((0, 3, 7), (2, 5, 50), (1000, 256, 1 << 13)):
+        for name, value in (("FEW", few), ("STEP", step), ("ROWS", rows)):
+            monkeypatch.setattr(tally, name, value)
+        x, y = ([rng.integers(0, n, size) for n in (3, 40, 1000)] for size in (70, 131))
+        w, v = rng.integers(0, 9, (70, 2)), rng.integers(0, 9, (131, 2))
+        same = np.any([a[:, None] == b for a, b in zip(x, y)], 0)
+        assert tally.Agreeing(x, y).weighed(w, v) == [int((np.outer(w[:, k], v[:, k]) * same).sum()) for k in range(2)]
+    signed = rng.integers(0, 3, (200, 7)).astype(np.int32)
+    assert len(np.unique(tally._keys(signed, 2**31 - 1))) == len(np.unique(signed, axis=0))
+
+
+def test_metrics_hold_all_thresholds_and_splits(spark, monkeypatch):
+    """All thresholds and five splits, each blocked on its own: means by hand of pairs that are listed."""
+    ready = tables.cut(pipeline.prepared(offers.products(spark, SF).filter("product_id < 100")))
+    monkeypatch.setattr(queries, "_prepared", lambda spark, folder: ready)
+    got = {r.t: r for r in queries.queries()["metric_avg"](spark, SF).collect()}
+    assert set(got) == set(experiment.THRESHOLDS) and len(queries.RUNS) == 5
+    model, each = {r.product_id: r.model_id for r in ready.collect()}, []
+    for run in queries.RUNS:
+        outside = [r.product_id for r in experiment.bootstrap(ready, run).filter("not in_bag").collect()]
+        listed = blocking.blocks(tables.cut(ready.filter(F.col("product_id").isin(outside))), 0.5).candidates().collect()
+        found, pairs = sum(model[r.l] == model[r.r] for r in listed), len(listed)
+        duplicates = sum(model[l] == model[r] for l in outside for r in outside if l < r)
+        each.append((pairs / (len(outside) * (len(outside) - 1) / 2), found / pairs, found / duplicates))
+    assert got[0.5][1:4] == pytest.approx(np.mean(each, 0), abs=1e-6)
