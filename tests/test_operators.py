@@ -458,3 +458,21 @@ def test_metrics_hold_all_thresholds_and_splits(spark, monkeypatch):
         duplicates = sum(model[l] == model[r] for l in outside for r in outside if l < r)
         each.append((pairs / (len(outside) * (len(outside) - 1) / 2), found / pairs, found / duplicates))
     assert got[0.5][1:4] == pytest.approx(np.mean(each, 0), abs=1e-6)
+
+
+def test_all_cuts_come_of_one_linkage(spark, monkeypatch):
+    """Clusters at each cut, of components solved once, against clusters made for that cut alone."""
+    rng, cuts = np.random.default_rng(9), experiment.EPSILONS
+    edges = [(100 * g + i, 100 * g + j, float(rng.choice([0.3, 0.45, 0.5, 0.55, rng.random()]))) for g in range(5) for j in range(12) for i in range(j) if rng.random() < 0.7]
+    frame = spark.createDataFrame(edges, "l bigint, r bigint, dist double")
+    products = spark.createDataFrame([(100 * g + i, f"m{g}{i % 4}") for g in range(5) for i in range(13)], "product_id bigint, model_id string")
+    want = {}
+    for e in cuts:
+        found = evaluate.cluster_hits(cluster.clusters(products, frame, e), products)
+        want[e] = tuple(evaluate.confusion_rates(found, products).first())
+    solved, merged = [], cluster.merged
+    monkeypatch.setattr(cluster, "merged", lambda *x: solved.append(1) or merged(*x))
+    got = {r.epsilon: tuple(r)[:-1] for r in experiment.by_epsilon(products, frame, cuts).collect()}
+    assert got == want and len(set(want.values())) > 3 and len(solved) == 1
+    none = experiment.by_epsilon(products, frame.limit(0), cuts).collect()
+    assert len(none) == len(cuts) and all((r.tp, r.fp) == (0, 0) for r in none)
